@@ -1 +1 @@
-
+"""Graphs, materialised cubes, datasets, failures as data."""
