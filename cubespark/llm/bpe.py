@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from .common import as_bytes, safe_pieces
 
-#: Entries in each of a worker's two generations of encoded pieces and of token pairs.
-MEMO = 400_000
+#: Entries in each of a worker's two generations of encoded pieces; others have less.
+MEMO = 300_000
 #: Blanks (fixed values: the characters of Unicode's White_Space property).
 BLANK = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Blanks and what follows them up to the next blank: no match of a pattern whose tokens have blanks in front
@@ -55,7 +55,8 @@ class BytePairs:
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.halves: dict[int, tuple[int, int]] = {}
         self.merged: dict[tuple[int, int], int] = {}
-        self.fits = Memo(self._fits)
+        self.packed = {rank: rank.to_bytes(4, "little") for rank in self.tokens}
+        self.fits = Memo(lambda x: self._fits((x >> 32, x & 0xFFFFFFFF)), 2 * MEMO)
         trie = ahocorasick.Automaton(ahocorasick.STORE_ANY)
         for token, rank in sorted(ranks.items(), key=lambda x: x[1]):
             if len(token) == 1:
@@ -69,9 +70,10 @@ class BytePairs:
         trie.make_automaton()
         self.trie = trie
         self.shorter = Memo(self._shorter)
-        self.pieces = Memo(self._piece, MEMO // 2)
-        self.words = Memo(self._word)
+        self.pieces = Memo(self._piece)
+        self.words = Memo(self._word, MEMO // 10)
         self.split = regex.compile(exact_pattern(pattern)).findall
+        self.split_latin = re.compile(latin_pattern(pattern)).findall
 
     def _halve(self, token: bytes, rank: int) -> tuple[int, int] | None:
         """The last merge of ``token``: the one split into lower ranks that no other merge crosses."""
@@ -117,7 +119,7 @@ class BytePairs:
         at, (token, length) = 0, next(longest(chars))[1]
         while True:
             end = at + length
-            if not dead[end] and (not ids or fits[ids[-1], token]):
+            if not dead[end] and (not ids or fits[ids[-1] << 32 | token]):
                 ids.append(token)
                 at = end
                 if at == len(piece):
@@ -132,7 +134,7 @@ class BytePairs:
                 at -= length
 
     def _piece(self, piece: str) -> bytes:
-        return b"".join(x.to_bytes(4, "little") for x in self.encode_piece(piece.encode()))
+        return b"".join([self.packed[x] for x in self.encode_piece(piece.encode())])
 
     def _word(self, word: str) -> bytes:
         found = self.split(word)
@@ -140,8 +142,12 @@ class BytePairs:
 
     def encode(self, text: str) -> bytes:
         """Ids of ``text`` as little-endian unsigned 32-bit integers."""
-        get = self.words.__getitem__
-        return b"".join([b"".join(map(get, WORDS.findall(part))) for part in safe_pieces(text, PIECE)])
+        return b"".join(map(self._part, safe_pieces(text, PIECE)))
+
+    def _part(self, part: str) -> bytes:
+        if max(part, default="") <= "\xff":
+            return b"".join(map(self.pieces.__getitem__, self.split_latin(part)))
+        return b"".join(map(self.words.__getitem__, WORDS.findall(part)))
 
     def decode(self, ids: bytes) -> bytes:
         get = self.tokens.__getitem__
@@ -149,6 +155,13 @@ class BytePairs:
         return b"".join([b"".join(map(get, view[i : i + 4 * PIECE].cast("I"))) for i in range(0, len(ids), 4 * PIECE)])
 
 
+def latin_pattern(pattern: str) -> str:
+    """``pattern`` for texts of characters up to U+00FF, whose classes no Unicode version changes, spelled out for re."""
+    letter, digit, space = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾", "\\t-\\r \\x85\\xa0"
+    pattern = pattern.replace(r"[^\s\p{L}\p{N}]", f"[^{space}{letter}{digit}]").replace(r"\S", f"[^{space}]")
+    return pattern.replace(r"\p{L}", f"[{letter}]").replace(r"\p{N}", f"[{digit}]").replace(r"\s", f"[{space}]")
+
+
 def _ranges(chars: set[str]) -> str:
     """``chars`` as the inside of a class."""
     codes, out = sorted(map(ord, chars)), []
