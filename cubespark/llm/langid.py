@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +16,8 @@ from .common import as_bytes, fresh, safe_pieces
 
 #: Longest character n-gram, counted with a blank on either side of a word.
 LONGEST = 5
-#: Distinct words whose vectors a worker remembers.
-MEMO = 300_000
+#: Distinct words whose vectors a worker remembers, and distinct words that it counts before it passes them on.
+MEMO, COUNTED = 200_000, 20_000
 _WORDS = re.compile(r"[^\W\d_]+")
 
 
@@ -56,6 +57,11 @@ class WordFirstModel:
                 return self.logs[n][found].mean(axis=0)
         return np.zeros(len(self.langs))
 
+    @cached_property
+    def scorer(self) -> Scorer:
+        """One for each Python worker that the model is sent to."""
+        return Scorer(self)
+
 
 class Scorer:
     """Predictions by a model; vectors of words are remembered up to a bound."""
@@ -103,14 +109,14 @@ def _counted(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, text in zip(part.column(0).to_pylist(), as_bytes(part.column(1)), strict=True):
             for words in words_of(text.decode("utf-8", "replace")):
                 seen.update((lang, w) for w in words)
-        if len(seen) > MEMO:
-            yield out()
-            seen.clear()
+            if len(seen) > COUNTED:
+                yield out()
+                seen.clear()
     if seen:
         yield out()
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang", rows_per_lang: int = 3000, max_words: int = 50_000, max_grams: int = 20_000) -> WordFirstModel:
+def train(docs: DataFrame, text: str = "text", lang: str = "lang", rows_per_lang: int = 2000, max_words: int = 50_000, max_grams: int = 20_000) -> WordFirstModel:
     """A model from the rows of ``docs`` that have a text and a language.
 
     It is fitted on about ``rows_per_lang`` rows of each language at most, fixed by the hash of the text, and keeps
@@ -143,7 +149,7 @@ def identify(docs: DataFrame, model: WordFirstModel, text: str = "text") -> Data
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the parameters of train()
 
     def predicted(texts: pa.Array) -> pa.Array:
-        predict = Scorer(shared.value).predict
+        predict = shared.value.scorer.predict
         found = [predict(x.decode("utf-8", "replace")) for x in as_bytes(texts)]
         return pa.StructArray.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], ["l", "s"])
 
