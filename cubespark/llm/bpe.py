@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import base64
 import re
-from functools import lru_cache
+from collections.abc import Callable
+from functools import cached_property, lru_cache
 
 import ahocorasick
 import pyarrow as pa
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from .common import as_bytes, safe_pieces
 
 #: Entries in each of a worker's two generations of encoded pieces; others have less.
-MEMO = 300_000
+MEMO = 250_000
 #: Blanks (fixed values: the characters of Unicode's White_Space property).
 BLANK = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Blanks and what follows them up to the next blank: no match of a pattern whose tokens have blanks in front
@@ -69,12 +70,18 @@ class BytePairs:
             trie.add_word(token.decode("latin-1"), (rank, len(token)))
         trie.make_automaton()
         self.trie = trie
+        self.fits.clear()
         self.shorter = Memo(self._shorter)
         self.pieces = Memo(self._piece)
         self.words = Memo(self._word, MEMO // 10)
-        self.split = regex.compile(exact_pattern(pattern)).findall
+        self.pattern = pattern
         self.split_latin = re.compile(latin_pattern(pattern)).findall
 
+    @cached_property
+    def split(self) -> Callable[[str], list[str]]:
+        """Matches of the pattern in any text; made when a text has other characters than Latin-1's."""
+        return regex.compile(exact_pattern(self.pattern)).findall
+
     def _halve(self, token: bytes, rank: int) -> tuple[int, int] | None:
         """The last merge of ``token``: the one split into lower ranks that no other merge crosses."""
         for i in range(len(token) - 1, 0, -1):
@@ -181,14 +188,17 @@ def exact_pattern(pattern: str) -> str:
     """
     import tiktoken
 
-    every = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
     single = {bytes([i]): i for i in range(256)}
     out = {}
     for name in (r"\p{L}", r"\p{N}", r"\s"):
         probe = tiktoken.Encoding("probe", pat_str=name, mergeable_ranks=single, special_tokens={})
-        theirs = set(bytes(probe.encode_ordinary(every)).decode())
-        ours = set(regex.findall(name, every))
-        out[name] = (_ranges(ours - theirs), _ranges(theirs - ours))
+        extra, missing = set(), set()
+        for start in range(0, 0x110000, 0x800):
+            some = "".join(map(chr, range(start, start + 0x800))) if not 0xD800 <= start < 0xE000 else ""
+            theirs, ours = set(bytes(probe.encode_ordinary(some)).decode()), set(regex.findall(name, some))
+            extra |= ours - theirs
+            missing |= theirs - ours
+        out[name] = (_ranges(extra), _ranges(missing))
     inside = {n: f"{n}{missing}" for n, (_, missing) in out.items()}
     if not any(a or b for a, b in out.values()):
         return pattern

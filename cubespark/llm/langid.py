@@ -17,7 +17,7 @@ from .common import as_bytes, fresh, safe_pieces
 #: Longest character n-gram, counted with a blank on either side of a word.
 LONGEST = 5
 #: Distinct words whose vectors a worker remembers, and distinct words that it counts before it passes them on.
-MEMO, COUNTED = 200_000, 20_000
+MEMO, COUNTED = 150_000, 10_000
 _WORDS = re.compile(r"[^\W\d_]+")
 
 
