@@ -24,6 +24,8 @@ BLANK = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u
 WORDS = re.compile(f"[{BLANK}]*[^{BLANK}]+|[{BLANK}]+")
 #: Characters that are split at a time.
 PIECE = 1 << 18
+#: Characters that a search for longest matches copies; more than twice a vocabulary's longest token.
+WINDOW = 512
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -70,6 +72,8 @@ class BytePairs:
             trie.add_word(token.decode("latin-1"), (rank, len(token)))
         trie.make_automaton()
         self.trie = trie
+        self.reach = max(map(len, ranks))
+        self.window = max(WINDOW, 2 * self.reach)
         self.fits.clear()
         self.shorter = Memo(self._shorter)
         self.pieces = Memo(self._piece)
@@ -119,26 +123,35 @@ class BytePairs:
         """Ids of one match of the pattern. Each place is given up at most once, so the time is linear in its length."""
         if (whole := self.ranks.get(piece)) is not None:
             return [whole]
-        chars, longest = piece.decode("latin-1"), self.trie.iter_long  # every byte is a token: a match starts where asked
-        fits, tokens, shorter = self.fits, self.tokens, self.shorter
+        chars, longest = piece.decode("latin-1"), self.trie.iter_long
+        fits, tokens, shorter, window = self.fits, self.tokens, self.shorter, self.window
+        safe = window - self.reach  # a match that starts later may be cut by the window's end
         ids: list[int] = []
         dead = bytearray(len(piece) + 1)
-        at, (token, length) = 0, next(longest(chars))[1]
+        # every byte is a token: each match starts where the last one ended, so one search serves until a token gives way
+        at = base = 0
+        direct = True
+        found = longest(chars[:window])
+        token, length = next(found)[1]
         while True:
             end = at + length
             if not dead[end] and (not ids or fits[ids[-1] << 32 | token]):
                 ids.append(token)
-                at = end
-                if at == len(piece):
+                if end == len(piece):
                     return ids
-                token, length = next(longest(chars, at))[1]
+                if not direct or end - base > safe:
+                    base, direct = end, True
+                    found = longest(chars[end : end + window])
+                at = end
+                token, length = next(found)[1]
             elif (less := shorter[token]) >= 0:
-                token, length = less, len(tokens[less])
+                token, length, direct = less, len(tokens[less]), False
             else:  # nothing can start here: the last token gives way to a shorter one
                 dead[at] = 1
                 token = ids.pop()
                 length = len(tokens[token])
                 at -= length
+                direct = False
 
     def _piece(self, piece: str) -> bytes:
         return b"".join([self.packed[x] for x in self.encode_piece(piece.encode())])
@@ -152,7 +165,7 @@ class BytePairs:
         return b"".join(map(self._part, safe_pieces(text, PIECE)))
 
     def _part(self, part: str) -> bytes:
-        if max(part, default="") <= "\xff":
+        if is_latin(part):
             return b"".join(map(self.pieces.__getitem__, self.split_latin(part)))
         return b"".join(map(self.words.__getitem__, WORDS.findall(part)))
 
@@ -162,6 +175,17 @@ class BytePairs:
         return b"".join([b"".join(map(get, view[i : i + 4 * PIECE].cast("I"))) for i in range(0, len(ids), 4 * PIECE)])
 
 
+def is_latin(text: str) -> bool:
+    """Whether all characters are Latin-1's; the codec tells sooner than a look at each of them."""
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 def latin_pattern(pattern: str) -> str:
     """``pattern`` for texts of characters up to U+00FF, whose classes no Unicode version changes, spelled out for re."""
     letter, digit, space = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾", "\\t-\\r \\x85\\xa0"

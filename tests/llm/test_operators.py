@@ -396,3 +396,17 @@ def test_pipeline(spark):
             for r in kept.groupBy("source").agg(F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))).alias("n")).collect():
                 assert abs(r["n"] - targets_by_rounds(dict(sizes))[r["source"]]) <= max(len(x["text"].split()) for x in before.collect())
     assert corpus_pipeline.run(spark, SF).count() == seen[-1][1] and all(n for _, n in seen)
+
+
+def test_bpe_pieces_longer_than_the_search_window():
+    """Pieces of any length around and far over the window get the library's ids, in time linear in their length."""
+    import tiktoken
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    ours = bpe.coder(path, public_tokenizers.PATTERN)
+    theirs = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    rng = random.Random(5)
+    some = ["".join(rng.choice("abcdeilnorstäöß") for _ in range(n)) for n in (1, 127, 128, 384, 385, 511, 512, 513, 1500, 9000)]
+    for piece in some + ["a" * 2000, "äö" * 257, "日本語" * 200]:
+        assert ours.encode_piece(piece.encode()) == theirs.encode_ordinary(piece)
+    assert [bpe.is_latin(x) for x in ("", "abc", "aÿ", "aĀ", "日")] == [True, True, True, False, False]
