@@ -16,14 +16,20 @@ from .common import as_bytes, fresh, safe_pieces
 
 #: Buckets of the hashed features, and distinct words whose features a worker remembers.
 BUCKETS, MEMO = 1 << 18, 300_000
+#: Letters of a word's beginnings.
+BEGINNINGS = (3, 4, 5, 6)
 _CORE = re.compile(r"^(\W*)(.*?)(\W*)$", re.DOTALL)
 
 
 def _word_features(word: str) -> tuple[int, ...]:
-    """Buckets of a word: itself in lower case, marks around it, its ending, and whether it is shouted."""
+    """Buckets of a word: itself in lower case, its beginnings, marks around it, and whether it is shouted.
+
+    Beginnings stand in for the word where its other forms are rare.
+    """
     before, core, after = _CORE.match(word).groups()
     low = core.lower()
     names = [f"w{low}"] if low else [f"m{word[:8]}"]
+    names += [f"p{low[:n]}" for n in BEGINNINGS if len(low) > n]
     names += [f"a{after[:4]}"] if len(after) > 1 else []
     names += [f"b{before[:4]}"] if before and low else []
     names += ["shout"] if len(core) > 1 and core == core.upper() != low else []
