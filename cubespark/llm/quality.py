@@ -83,23 +83,27 @@ def fit_ordinal(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n
     rows, grades, size = [r for r, k in zip(rows, keep, strict=True) if k], grades[keep], size[keep]
     if not rows:
         return OrdinalModel(np.zeros(BUCKETS, np.float32), np.arange(n_grades - 1, dtype=float))
+    n, owner = len(rows), np.repeat(np.arange(len(rows), dtype=np.int32), size)
     at, value = np.concatenate([a for a, _ in rows]), np.concatenate([v for _, v in rows])
+    rows.clear()
     names, at, times = np.unique(at, return_inverse=True, return_counts=True)
-    idf = np.where(times >= least_rows, np.log1p(len(rows) / times), 0.0)
+    frequent = times >= least_rows
+    kept = frequent[at]
+    names, owner, value, at = names[frequent], owner[kept], value[kept], (np.cumsum(frequent, dtype=np.int32) - 1)[at[kept]]
+    idf = np.log1p(n / times[frequent])
     value = value * idf[at]
-    owner, begin = np.repeat(np.arange(len(rows)), size), np.r_[0, np.cumsum(size)[:-1]]
     w, t = np.zeros(len(names)), np.r_[-1.0, np.zeros(n_grades - 2)]
     state = [np.zeros_like(x) for x in (w, w, t, t)]
     sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -50, 50)))
     for step in range(1, rounds + 1):
         edges = np.r_[-np.inf, t[0] + np.r_[0, np.cumsum(np.exp(t[1:]))], np.inf]
-        score = np.add.reduceat(w[at] * value, begin)
+        score = np.bincount(owner, w[at] * value, n)
         high, low = sigmoid(edges[grades + 1] - score), sigmoid(edges[grades] - score)
         p = np.maximum(high - low, 1e-12)
         d_high, d_low = high * (1 - high) / p, low * (1 - low) / p
-        d_score = (d_high - d_low) / len(rows)  # of the negative log likelihood
+        d_score = (d_high - d_low) / n  # of the negative log likelihood
         d_edges = np.bincount(grades, -d_high, n_grades)[: n_grades - 1] + np.bincount(grades, d_low, n_grades)[1:]
-        d_edges /= len(rows)
+        d_edges /= n
         d_t = np.r_[d_edges.sum(), np.cumsum(d_edges[::-1])[::-1][1:] * np.exp(t[1:])]
         d_w = np.bincount(at, d_score[owner] * value, len(names)) + decay * w
         for i, (x, d) in enumerate(((w, d_w), (t, d_t))):
@@ -126,12 +130,14 @@ def train(docs: DataFrame, rated: DataFrame, n_grades: int, text: str = "text",
     def features(texts: pa.Array) -> pa.Array:
         of = Features().of
         found = [of(x.decode("utf-8", "replace")) for x in as_bytes(texts)]
-        return pa.array([np.concatenate([a.astype("<f8"), v]).tobytes() for a, v in found], pa.binary())
+        return pa.array([a.astype("<u4").tobytes() + v.astype("<f4").tobytes() for a, v in found], pa.binary())
 
     rows = docs.join(F.broadcast(some), F.col(key) == F.col(of_id)).filter(F.col(text).isNotNull()).select(F.col(of_id).alias("id"), F.col(of_grade).alias("grade"), F.arrow_udf(features, "binary")(F.col(text)).alias("x")).collect()
     rows.sort(key=lambda r: (r["id"], r["x"]))
-    split = [np.frombuffer(r["x"]).reshape(2, -1) for r in rows]
-    return fit_ordinal([(x[0].astype(np.int64), x[1]) for x in split], np.array([r["grade"] for r in rows], np.int64), n_grades)
+    grades = np.array([r["grade"] for r in rows], np.int64)
+    split = [(np.frombuffer(r["x"], "<u4", len(r["x"]) // 8), np.frombuffer(r["x"], "<f4", offset=len(r["x"]) // 2)) for r in rows]
+    del rows
+    return fit_ordinal(split, grades, n_grades)
 
 
 def grade(docs: DataFrame, model: OrdinalModel, text: str = "text") -> DataFrame:
