@@ -171,12 +171,11 @@ def segments_cross_dims(spark, sf):
 
 
 def _intervals(spark, sf):
-    a = table(spark, sf, "lineitem").filter("l_linenumber = 1").join(table(spark, sf, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority"), F.col("l_orderkey") == F.col("o_orderkey"))
-    # dates of an order and its line bound an interval of at most 60 days
-    start = F.least("l_shipdate", "o_orderdate")
-    stop = F.least(F.greatest("l_shipdate", "o_orderdate"), F.timestamp_add("DAY", F.lit(60), start))
+    """Every lineitem row as an annotation, from the earlier to the later date of its order and its own, and every order as a request."""
+    a = table(spark, sf, "lineitem").join(table(spark, sf, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority"), F.col("l_orderkey") == F.col("o_orderkey"))
+    start, stop = F.least("l_shipdate", "o_orderdate"), F.greatest("l_shipdate", "o_orderdate")
     a = a.select(F.col("l_orderkey").alias("ann_id"), F.col("o_orderpriority").alias("kind"), start.alias("a_start"), stop.alias("a_stop"))
-    r = table(spark, sf, "orders").filter("o_orderkey % 100 = 0").select(F.col("o_orderkey").alias("req_id"), F.col("o_orderpriority").alias("kind"), F.col("o_orderdate").alias("r_start"), F.timestamp_add("DAY", F.lit(3), "o_orderdate").alias("r_stop"))
+    r = table(spark, sf, "orders").select(F.col("o_orderkey").alias("req_id"), F.col("o_orderpriority").alias("kind"), F.col("o_orderdate").alias("r_start"), F.timestamp_add("DAY", F.lit(3), "o_orderdate").alias("r_stop"))
     return a, r
 
 
@@ -208,7 +207,7 @@ def overlap_with_membership(spark, sf):
     select o_orderkey as req_id, coalesce(string_agg(distinct ann_id::varchar, ',' order by ann_id::varchar), '') as annotations from orders left join p on o_orderkey = req_id where o_orderkey % 100 = 0 group by o_orderkey""")
 def annotations_per_request(spark, sf):
     a, r = _intervals(spark, sf)
-    pairs = joins.overlap_join(a.filter("ann_id % 7 = 0"), r, timedelta(days=8), on=["kind"]).filter("ann_id <> req_id").withColumn("ann_id", F.col("ann_id").cast("string"))
+    pairs = joins.overlap_join(a, r, timedelta(days=8), on=["kind"]).filter("ann_id <> req_id").withColumn("ann_id", F.col("ann_id").cast("string"))
     return joins.per_request(r.select("req_id"), pairs, "req_id", "ann_id").withColumn("annotations", F.array_join("annotations", ","))
 
 

@@ -251,3 +251,30 @@ def test_imports_without_the_subpackage(tmp_path):
     shutil.copy(here / "__spark_entry__.py", tmp_path)
     out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; q = e.queries(); assert q and set(e.oracle_sql()) <= set(q) and not any(x.startswith('op') for x in q)"], cwd=tmp_path, capture_output=True, text=True)
     assert out.returncode == 0, out.stderr
+
+
+def test_interval_queries_cover_whole_tables(spark, tmp_path):
+    """Every order is a request and every line an unclipped annotation, whatever its id, line number or length."""
+    from cubespark.queries import queries
+
+    rng = np.random.default_rng(6)
+    orders = [(i, datetime(2000, 1, 1) + timedelta(days=int(rng.integers(0, 400))), "AB"[i % 2]) for i in range(1, 31)]
+    lines = [(k, n, at + timedelta(days=int(rng.choice([-300, -61, -60, -3, 0, 3, 60, 61, 300])))) for k, at, _ in orders for n in (1, 2)]
+    spark.createDataFrame(orders, "o_orderkey long, o_orderdate timestamp_ntz, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_shipdate timestamp_ntz").write.parquet(f"{tmp_path}/lineitem.parquet")
+    of = {k: (at, kind) for k, at, kind in orders}
+    spans = [(k, min(of[k][0], ship), max(of[k][0], ship)) for k, _, ship in lines]
+    whole = [(a, r, a0, a1, at, at + timedelta(days=3)) for a, a0, a1 in spans for r, at, _ in orders]
+    tests = {
+        "overlap_neither": lambda a, r, a0, a1, b0, b1: a1 >= b0 and a0 <= b1,
+        "overlap_both": lambda a, r, a0, a1, b0, b1: a1 > b0 and a0 < b1,
+        "overlap_left": lambda a, r, a0, a1, b0, b1: a1 >= b0 and a0 < b1,
+        "overlap_right": lambda a, r, a0, a1, b0, b1: a1 > b0 and a0 <= b1,
+        "overlap_with_membership": lambda a, r, a0, a1, b0, b1: a1 >= b0 and a0 <= b1 and of[a][1] == of[r][1],
+    }
+    for name, holds in tests.items():
+        got = [tuple(x) for x in queries()[name](spark, str(tmp_path)).collect()]
+        assert sorted(got) == sorted(x[:2] for x in whole if holds(*x)), name
+    near = [x[:2] for x in whole if tests["overlap_with_membership"](*x) and x[0] != x[1]]
+    got = {r["req_id"]: r["annotations"] for r in queries()["annotations_per_request"](spark, str(tmp_path)).collect()}
+    assert got == {k: ",".join(sorted({str(a) for a, r in near if r == k})) for k in of}
