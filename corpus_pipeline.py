@@ -11,12 +11,14 @@ from cubespark.llm.queries import _digests
 
 #: Documents whose language is less sure than this are rejected.
 LEAST_SCORE = 0.5
+#: Documents of which the told language knows a smaller share of the words are in no language of the model.
+LEAST_KNOWN = 0.25
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with letters in a language that is told with a posterior of LEAST_SCORE or more."""
+    """Documents with letters in a language that is told with a posterior of LEAST_SCORE or more and knows LEAST_KNOWN of the words."""
     model = langid.train(docs.filter(~langid.held_out(F.col("doc_id")) & F.col("doc_id").isNotNull()))
-    sure = (F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)
+    sure = (F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE) & (F.col("known") >= LEAST_KNOWN)
     return langid.identify(docs, model).filter(sure).select(*docs.columns)
 
 

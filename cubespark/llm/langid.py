@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .common import as_bytes, fresh, safe_pieces
 
-#: Longest character n-gram, counted with a blank on either side of a word.
+#: Longest character n-gram, counted with a blank on either side of a word; single characters without.
 LONGEST = 5
 #: Distinct words whose vectors a worker remembers, and distinct words that it counts before it passes them on.
 MEMO, COUNTED = 150_000, 10_000
@@ -27,7 +27,7 @@ def words_of(text: str) -> Iterator[list[str]]:
 
 
 def grams_of(word: str, n: int) -> list[str]:
-    word = f" {word} "
+    word = f" {word} " if n > 1 else word
     return [word[i : i + n] for i in range(len(word) - n + 1)]
 
 
@@ -39,6 +39,7 @@ class WordFirstModel:
         place = {x: i for i, x in enumerate(langs)}
         self.index: dict[int, dict[str, int]] = {}
         self.logs: dict[int, np.ndarray] = {}
+        self.seen = np.zeros((0, len(langs)), bool)
         for kind, grams in counts.items():
             table = np.zeros((len(grams), len(langs)))
             for i, by in enumerate(grams.values()):
@@ -46,6 +47,8 @@ class WordFirstModel:
                     table[i, place[lang]] = n
             self.index[kind] = {gram: i for i, gram in enumerate(grams)}
             self.logs[kind] = np.log((table + 0.5) / (table.sum(axis=0) + 0.5 * max(len(grams), 1)))
+            if kind == 0:
+                self.seen = table > 0
 
     def vector(self, word: str) -> np.ndarray:
         known = self.index.get(0, {}).get(word)
@@ -57,6 +60,11 @@ class WordFirstModel:
                 return self.logs[n][found].mean(axis=0)
         return np.zeros(len(self.langs))
 
+    def knows(self, word: str) -> np.ndarray:
+        """For each language, whether it has the word."""
+        known = self.index.get(0, {}).get(word)
+        return self.seen[known] if known is not None else np.zeros(len(self.langs), bool)
+
     @cached_property
     def scorer(self) -> Scorer:
         """One for each Python worker that the model is sent to."""
@@ -69,28 +77,30 @@ class Scorer:
     def __init__(self, model: WordFirstModel):
         self.model = model
         self.places: dict[str, int] = {}
-        self.table = np.zeros((1024, len(model.langs)))
+        self.table = np.zeros((1024, 2 * len(model.langs)))  # logs, then 1 where a language knows the word
 
     def _place(self, word: str) -> int:
         i = self.places[word] = len(self.places)
         if i >= len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        self.table[i] = self.model.vector(word)
+        self.table[i] = np.concatenate([self.model.vector(word), self.model.knows(word)])
         return i
 
-    def predict(self, text: str) -> tuple[str, float]:
-        total, letters = np.zeros(len(self.model.langs)), False
+    def predict(self, text: str) -> tuple[str, float, float]:
+        both, letters, n = np.zeros(self.table.shape[1]), False, 0
         for words in words_of(text):
             if len(self.places) >= MEMO:
                 self.places.clear()
             letters = letters or any(c.isalpha() for w in words for c in w)
             get, add = self.places.get, self._place
             at = [i if (i := get(w)) is not None else add(w) for w in words]
-            total += self.table[at].sum(axis=0)
+            both += self.table[at].sum(axis=0)
+            n += len(words)
         if not letters or not self.model.langs:
-            return "und", 0.0
+            return "und", 0.0, 0.0
+        total, known = np.split(both, 2)
         best = int(total.argmax())
-        return self.model.langs[best], float(1 / np.exp(total - total[best]).sum())
+        return self.model.langs[best], float(1 / np.exp(total - total[best]).sum()), float((known[best] + 1) / (n + 1))
 
 
 def _counted(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,9 +150,11 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", rows_per_lang
 
 
 def identify(docs: DataFrame, model: WordFirstModel, text: str = "text") -> DataFrame:
-    """``docs`` with lang_pred and score (0 to 1, the posterior under equal priors) of each whole text.
+    """``docs`` with lang_pred, score (0 to 1, the posterior under equal priors) and known of each whole text.
 
-    Texts that are null or have no letter get ``und`` and 0, as do all if the model knows no language. Ties go to
+    The score only compares the model's languages; known, the share of words that the predicted one has in the
+    model, also tells texts in none of them; one known word more is supposed, as one or two words tell nothing.
+    Texts that are null or have no letter get ``und``, 0 and 0, as do all if the model knows no language. Ties go to
     the first language by code point. Equal texts get equal values; an empty table gives an empty table; columns
     named like the new ones are replaced.
     """
@@ -151,11 +163,11 @@ def identify(docs: DataFrame, model: WordFirstModel, text: str = "text") -> Data
     def predicted(texts: pa.Array) -> pa.Array:
         predict = shared.value.scorer.predict
         found = [predict(x.decode("utf-8", "replace")) for x in as_bytes(texts)]
-        return pa.StructArray.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], ["l", "s"])
+        return pa.StructArray.from_arrays([pa.array(x, t) for x, t in zip(zip(*found, strict=True) if found else ((), (), ()), (pa.string(), pa.float64(), pa.float64()), strict=True)], ["l", "s", "k"])
 
-    found = F.arrow_udf(predicted, "l string, s double")(F.col(text))
+    found = F.arrow_udf(predicted, "l string, s double, k double")(F.col(text))
     (both,) = fresh(docs, "_found")
-    return docs.withColumn(both, found).withColumns({"lang_pred": F.col(both)["l"], "score": F.col(both)["s"]}).drop(both)
+    return docs.withColumn(both, found).withColumns({"lang_pred": F.col(both)["l"], "score": F.col(both)["s"], "known": F.col(both)["k"]}).drop(both)
 
 
 def held_out(key: Column, folds: int = 5) -> Column:

@@ -410,3 +410,30 @@ def test_bpe_pieces_longer_than_the_search_window():
     for piece in some + ["a" * 2000, "äö" * 257, "日本語" * 200]:
         assert ours.encode_piece(piece.encode()) == theirs.encode_ordinary(piece)
     assert [bpe.is_latin(x) for x in ("", "abc", "aÿ", "aĀ", "日")] == [True, True, True, False, False]
+
+
+def test_pipeline_rejects_texts_in_no_learned_language(spark):
+    """Foreign and gibberish texts go, whatever the posterior says; clean ones that were not trained on stay."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    planted = [
+        "Wczoraj wieczorem poszliśmy do starego młyna nad rzeką, ponieważ chcieliśmy zobaczyć zachód słońca. " * 3,
+        "Ieri sera siamo andati al vecchio mulino vicino al fiume perché volevamo vedere il tramonto. " * 3,
+        "Вчера вечером мы пошли к старой мельнице у реки, потому что хотели увидеть закат. " * 6,
+        "xkcd qwrt zplk mnbv ghjk trwq bcdf lkjh pqrs vbnm " * 5,
+    ]
+    rows = [(-1 - i, t, None, "planted", len(t)) for i, t in enumerate(planted)]
+    kept = corpus_pipeline.identified(spark, docs.unionByName(spark.createDataFrame(rows, docs.select("doc_id", "text", "lang", "source", "n_chars").schema)), SF)
+    assert kept.columns == docs.columns
+    left = {r["doc_id"] for r in kept.select("doc_id").collect()}
+    assert not left & {r[0] for r in rows}
+    clean = {r["doc_id"] for r in docs.filter(langid.held_out(F.col("doc_id")) & (F.length("text") > 50) & F.col("lang").isNotNull()).select("doc_id").collect()}
+    print("clean kept", len(clean & left), "of", len(clean))
+    assert len(clean & left) >= 0.99 * len(clean)
+
+
+def test_unseen_scripts_have_no_vector():
+    counts = {0: {}, **{n: Counter(langid.grams_of("hund", n)) for n in range(1, langid.LONGEST + 1)}}
+    model = langid.WordFirstModel({k: {g: {"de": n} for g, n in by.items()} for k, by in counts.items()}, ["de", "en"])
+    assert model.vector("hut").any() and not model.vector("закат").any()
