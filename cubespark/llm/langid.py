@@ -126,12 +126,12 @@ def _counted(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang", rows_per_lang: int = 2000, max_words: int = 50_000, max_grams: int = 20_000) -> WordFirstModel:
+def train(docs: DataFrame, text: str = "text", lang: str = "lang", rows_per_lang: int = 3000, max_words: int = 50_000, max_grams: int = 20_000) -> WordFirstModel:
     """A model from the rows of ``docs`` that have a text and a language.
 
     It is fitted on about ``rows_per_lang`` rows of each language at most, fixed by the hash of the text, and keeps
-    the ``max_words`` commonest words and ``max_grams`` commonest n-grams of each length. The set of languages, not
-    the rows, comes to the driver before. Without any row it knows no language.
+    each language's ``max_words`` commonest words and ``max_grams`` commonest n-grams of each length, with their counts
+    in all languages. The set of languages, not the rows, comes to the driver before. Without any row it knows no language.
     """
     rows = docs.filter(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -141,12 +141,13 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", rows_per_lang
     some = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.element_at(share, F.col("lang")))
     counts = some.mapInArrow(_counted, "kind int, gram string, lang string, n long")
     by = counts.groupBy("kind", "gram", "lang").agg(F.sum("n").alias("n"))
-    grams = by.groupBy("kind", "gram").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by")).persist()
+    grams = by.groupBy("kind", "gram").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by")).persist()
+    of = lambda x, k: grams.filter((F.col("kind") == k) & F.col("by").getItem(x).isNotNull()).orderBy(F.col("by").getItem(x).desc(), "gram")
     try:
-        best = {k: grams.filter(F.col("kind") == k).orderBy(F.desc("total"), "gram").limit(max_grams if k else max_words).collect() for k in range(LONGEST + 1)}
+        best = {k: {r["gram"]: r["by"] for x in sorted(sizes) for r in of(x, k).limit(max_grams if k else max_words).collect()} for k in range(LONGEST + 1)}
     finally:
         grams.unpersist()
-    return WordFirstModel({k: {r["gram"]: r["by"] for r in found} for k, found in best.items()}, sorted(sizes))
+    return WordFirstModel(best, sorted(sizes))
 
 
 def identify(docs: DataFrame, model: WordFirstModel, text: str = "text") -> DataFrame:

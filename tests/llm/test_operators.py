@@ -437,3 +437,11 @@ def test_unseen_scripts_have_no_vector():
     counts = {0: {}, **{n: Counter(langid.grams_of("hund", n)) for n in range(1, langid.LONGEST + 1)}}
     model = langid.WordFirstModel({k: {g: {"de": n} for g, n in by.items()} for k, by in counts.items()}, ["de", "en"])
     assert model.vector("hut").any() and not model.vector("закат").any()
+
+
+def test_small_languages_keep_their_commonest_words(spark):
+    """The caps hold for each language, so a large one crowds no other out."""
+    rows = [("en", "the and that with " * 50)] + [("fr", "eau lune ")]
+    model = langid.train(spark.createDataFrame(rows, "lang string, text string"), max_words=2, max_grams=3)
+    assert set(model.index[0]) == {"and", "that", "eau", "lune"}
+    assert {"eau ", "lune"} & set(model.index[4]) and model.logs[0][model.index[0]["eau"]].argmax() == 1
