@@ -174,10 +174,12 @@ def planted_codes(n, seed, bits=64):
     return sorted(set(out))
 
 
-@pytest.mark.parametrize("bucket", [8, 4096])
-def test_gray_index_finds_all_groups(spark, monkeypatch, bucket):
-    monkeypatch.setattr(simhash, "BUCKET", bucket)
-    codes = planted_codes(700, bucket)
+@pytest.mark.parametrize("ranges", [1, 7, 4096])
+def test_gray_index_finds_all_groups(spark, monkeypatch, ranges):
+    """Whatever the number of ranges (isqrt(n) // 4 of them, RANGES at most)."""
+    monkeypatch.setattr(simhash, "RANGES", ranges)
+    monkeypatch.setattr(simhash, "HELD", 50)
+    codes = planted_codes(700, ranges)
     df = spark.createDataFrame([(c - (1 << 64) if c >> 63 else c,) for c in codes], "fp long")
     found = components.components(simhash.fingerprint_links(df)).collect()
     label = {c: c for c in codes} | {r["node"] % (1 << 64): r["component"] % (1 << 64) for r in found}
@@ -186,23 +188,58 @@ def test_gray_index_finds_all_groups(spark, monkeypatch, bucket):
     for c in codes:
         pairs[want[c]].add(label[c])
     assert all(len(x) == 1 for x in pairs.values()) and len(pairs) == len(set(label.values()))
+    assert simhash.fingerprint_links(df.limit(0)).count() == 0
 
 
-def test_gray_order_and_masks():
+def test_gray_order_and_walk(spark):
     codes = np.arange(256, dtype=np.uint64)
     order = codes[np.argsort(simhash.gray_rank(codes))]
     assert all(int(a ^ b).bit_count() == 1 for a, b in zip(order, order[1:]))
-    rng = random.Random(1)
-    for n in (10, 10**7, 10**10):
-        masks = simhash.block_masks(n, 3)
-        for _ in range(300):
-            flips = sum(1 << b for b in rng.sample(range(64), 3))
-            assert any(not flips & m for m in masks)
+    some = np.array(planted_codes(300, 9), np.uint64)
+    sparks = spark.createDataFrame([(int(c),) for c in some.view(np.int64)], "fp long").orderBy(simhash.gray_order(F.col("fp"))).collect()
+    assert [r["fp"] % (1 << 64) for r in sparks] == [int(c) for c in some[np.argsort(simhash.gray_rank(some))]]
     dense = np.array(planted_codes(1500, 3), np.uint64)
-    dense = dense[np.argsort(simhash.gray_rank(dense))]
-    groups = simhash.Groups(len(dense))
-    simhash.GrayIndex(dense, 3).link(groups)
-    assert len(set(groups.of)) == len(set(groups_by_hand(list(map(int, dense)), 3).values()))
+    linker = simhash.Linker(dense, 3)
+    for start in range(0, len(dense), 400):
+        linker.link(dense[start : start + 400])
+    assert len(set(linker.own)) == len(set(groups_by_hand(list(map(int, dense)), 3).values()))
+    index = simhash.GrayIndex(linker.codes, linker.codes, 3)
+    q, leaf = index.walk(dense)
+    want = {(i, j) for i, a in enumerate(dense) for j, b in enumerate(linker.codes) if int(a ^ b).bit_count() <= 3}
+    assert len(q) == len(want) and set(zip(q.tolist(), leaf.tolist())) == want
+
+
+def test_every_code_walks_the_gray_index(spark):
+    """All fingerprints of sf0.1: each one is a query of the upper nodes and of a range's index, most leaves are pruned,
+    and the groups are those of a comparison of all pairs."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select(simhash.fingerprint_column(3)(F.col("text")).alias("fp")).distinct()
+    codes = np.array([r["fp"] for r in docs.collect()], np.int64).view(np.uint64)
+    codes = codes[np.argsort(simhash.gray_rank(codes))]
+    cuts = np.array_split(codes, 24)
+    upper = simhash.GrayIndex(np.array([np.bitwise_and.reduce(c) for c in cuts]), np.array([np.bitwise_or.reduce(c) for c in cuts]), 3)
+    q, target = upper.walk(codes)
+    asked, groups, visits = np.zeros(len(codes), int), simhash.Groups(len(codes)), 0
+    place = {int(c): i for i, c in enumerate(codes)}
+    for r, held in enumerate(cuts):
+        linker, queries = simhash.Linker(held, 3), q[target == r]
+        asked[queries] += 1
+        for a, b in [linker.link(codes[queries])]:
+            groups.join(np.array([place[int(x)] for x in a], int), np.array([place[int(x)] for x in b], int))
+        visits += linker.index.visits[0]
+    assert asked.min() >= 1 and upper.visits[0] > 0 and visits < 0.5 * len(codes) ** 2
+    brute = simhash.Groups(len(codes))
+    for start in range(0, len(codes), 500):
+        a, b = np.nonzero(np.bitwise_count(codes[start : start + 500, None] ^ codes) <= 3)
+        brute.join(a + start, b)
+    assert np.array_equal(groups.of, brute.of)
+
+
+def test_components(spark):
+    """A chain, a star, a triangle and no link at all."""
+    edges = [(i, i + 1) for i in range(100, 140)] + [(7, i) for i in range(8, 60)] + [(200, 201), (201, 202), (202, 200), (200, 201)]
+    found = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert found == {**dict.fromkeys(range(101, 141), 100), **dict.fromkeys(range(8, 60), 7), 201: 200, 202: 200}
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
 def test_byte_bpe(docs, none):
