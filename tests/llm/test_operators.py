@@ -374,13 +374,23 @@ def test_top_k(spark, monkeypatch):
     rows += [(400, None), (401, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (402, [float("nan")] * 6), (403, [float("inf")] * 6), (None, rows[3][1]), (500, rows[0][1]), (501, rows[0][1]), (501, rows[0][1]), (600, [1.0, 2.0]), (601, [0.5, 0.5]), (650, [])]
     df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<float>, score string").repartition(4)
     as_float = [(i, None if v is None else [None if x is None else float(np.float32(x)) for x in v]) for i, v in rows]
-    for block in (3, 8192):
-        assert {tuple(r) for r in topk.top_k(df, block=block).collect()} == top_by_hand(as_float, 5)
+    for block, pivots in ((150, 3), (1 << 24, 128)):
+        assert {tuple(r) for r in topk.top_k(df, block_bytes=block, pivots=pivots).collect()} == top_by_hand(as_float, 5)
     assert topk.top_k(df.limit(0)).count() == 0
     search = topk.Search(np.array([0]), np.array([[1, 0]]), np.array([[0, 0], [50, 0]]), 1)
     away = rng.integers(-100, 0, (5000, 2))
     search.add(np.arange(1, 5001), np.zeros(5000, bool), np.r_[[[90, 0]], away[1:]])
     assert search.best[0][0][0] == 90 and search.tried < search.seen / 2
+    with pytest.raises(OverflowError):
+        topk.Search(np.array([0]), np.array([[1 << 40, 0]]), np.zeros((1, 2)), 1).add(np.array([1]), np.zeros(1, bool), np.array([[1 << 40, 0]]))
+    clusters = rng.integers(-4000, 4000, (40, 16)).repeat(100, axis=0) + rng.integers(-20, 20, (4000, 16))
+    clusters = clusters[rng.permutation(4000)]
+    search = topk.Search(np.arange(0, 4000, 50), clusters[::50], topk.choose_pivots(clusters[:500].astype(float), 64), 5)
+    search.add(np.arange(4000), np.zeros(4000, bool), clusters)
+    for i, (score, who, _) in zip(range(0, 4000, 50), search.best, strict=True):
+        best = sorted((-int(clusters[i] @ x), j) for j, x in enumerate(clusters) if j != i)[:5]
+        assert [(-s, j) for s, j in zip(score, who)] == best
+    assert search.tried < search.seen / 2  # clusters are ruled out by their distances to pivots
 
 
 def test_queries_have_their_columns(spark):
