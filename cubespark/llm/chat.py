@@ -5,8 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Marks around a turn (fixed values of the ChatML format).
+#: Marks around a turn (fixed values of the ChatML format), and what they begin with.
 BEGIN, END = "<|im_start|>", "<|im_end|>"
+MARK, DEFUSED = "<|im_", "<| im_"
+
+
+def _plain(said: Column | str) -> Column:
+    """What was said, null as empty, with no mark in it."""
+    return F.replace(F.coalesce(said, F.lit("")), F.lit(MARK), F.lit(DEFUSED))
 
 
 def _rendered(turn: Column) -> Column:
@@ -34,7 +40,9 @@ def preference_rows(turns: DataFrame, pair: Column, is_chosen: Column) -> DataFr
     """One row a ``pair``: pair_id, n_prompt_turns, prompt, chosen, rejected and the spans to learn from in each.
 
     ``turns`` (conv_id, turn, role, text) holds both conversations of each pair; ``is_chosen`` tells them apart.
-    Turns are ordered by (turn, role, text), nulls first; null roles and texts are rendered empty. The prompt is
+    Turns are ordered by (turn, role, text), nulls first; null roles and texts are rendered empty. Marks inside roles
+    and texts are rendered with a blank (``<| im_``), so that nothing said can forge a turn. Texts of any length are
+    rendered whole. The prompt is
     the longest run of leading turns that both have in equal role and text, rendered once; what follows it is a
     completion. Where one side is missing the prompt is empty and its completion is empty; of equal conversations
     both completions are. Repeated turns are turns like others. Rows whose ``pair`` or side is null belong to no
@@ -42,7 +50,7 @@ def preference_rows(turns: DataFrame, pair: Column, is_chosen: Column) -> DataFr
     pairs of different ids never share a task's memory.
     """
     clean = turns.select(
-        pair.alias("pair_id"), is_chosen.alias("_side"), F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t")
+        pair.alias("pair_id"), is_chosen.alias("_side"), F.struct(F.col("turn"), _plain("role").alias("role"), _plain("text").alias("text")).alias("t")
     ).filter("pair_id is not null and _side is not null")
     side = lambda which: F.sort_array(F.collect_list(F.when(F.col("_side") == which, F.col("t"))))
     rows = clean.groupBy("pair_id").agg(side(True).alias("c"), side(False).alias("r"))

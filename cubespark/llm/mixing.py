@@ -45,6 +45,11 @@ def _uniform(*parts: Column) -> Column:
     return (F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long").cast("double") + 0.5) / F.lit(float(1 << 52))
 
 
+def length_weight(text: Column) -> Column:
+    """The bits of a text's number of words: a document twice as long weighs one more. Whole numbers sum up exactly."""
+    return F.length(F.bin(word_count(text))).cast("double")
+
+
 def _step(weigh: int):
     """A walk over sorted slots that ends in the one that passes the need (1) or whose middle passes it (2)."""
 

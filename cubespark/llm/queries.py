@@ -22,7 +22,7 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(read(spark, sf_dir, "documents"))
+    mixed = mixing.mix(read(spark, sf_dir, "documents"), doc_weight=mixing.length_weight(F.col("text")))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
@@ -52,7 +52,17 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_preference_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = chat.preference_rows(read(spark, sf_dir, "conversations"), F.floor(F.col("conv_id") / 2), F.pmod("conv_id", F.lit(2)) == 0)
+    """Chosen is a conversation up to its last assistant turn; rejected has the last answer of conversation ``conv_id`` + 1
+    in that turn's place, or nothing if there is none. Conversations without an assistant turn make no pair."""
+    turns = read(spark, sf_dir, "conversations").filter("conv_id is not null").select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    turn = F.struct("turn", "role", "text")
+    last = turns.filter(F.col("role") == "assistant").groupBy("conv_id").agg(F.max(turn).alias("last"))
+    other = last.select(F.try_subtract("conv_id", F.lit(1).cast("long")).alias("conv_id"), F.col("last.text").alias("other"))
+    said = lambda chosen, text: F.struct(F.lit(chosen).alias("is_chosen"), F.col(text).alias("text"))
+    same, end = turn == F.col("last"), turn <= F.col("last")
+    sides = F.array_compact(F.array(F.when(end, said(True, "text")), F.when(end & ~same, said(False, "text")), F.when(same & F.col("other").isNotNull(), said(False, "other"))))
+    both = turns.join(last, "conv_id").join(other, "conv_id", "left").select("conv_id", "turn", "role", F.explode(sides).alias("x")).select("conv_id", "turn", "role", "x.*")
+    rows = chat.preference_rows(both, F.col("conv_id"), F.col("is_chosen"))
     text = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("-", s["begin"], s["end"])), ",")
     return rows.withColumns({c: text(c) for c in ("chosen_spans", "rejected_spans")})
 
@@ -92,8 +102,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_source_mix": """
-            with docs as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint as size from documents),
-            sizes as (select source, sum(size)::bigint as source_size from docs group by source),
+            with counted as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint as size from documents),
+            docs as (select *, length(bin(size)) as tilt from counted),
+            sizes as (select source, sum(size)::bigint as source_size, sum(size * tilt)::double as tilted from docs group by source),
             named as (select *, ([5, 2, 1])[((row_number() over (order by source nulls last) - 1) % 3 + 1)::int]::bigint as w, 2 * source_size as cap from sizes),
             filled as (select *, row_number() over f as nth,
                 coalesce(sum(cap) over (f rows between unbounded preceding and 1 preceding), 0)::bigint as before,
@@ -102,11 +113,11 @@ def oracle_sql() -> dict[str, str]:
                 from named window f as (order by source_size::double / w::double, source nulls last)),
             levels as (select *, wanted - before * 2 as left_, w * (wanted - before * 2) >= cap * w_left * 2 as is_full from filled),
             free as (select left_ as l, w_left as wl from levels where not is_full order by nth limit 1),
-            targets as (select source, source_size, case when is_full then cap::double else (w * (select l from free))::double / ((select wl from free) * 2)::double end as target from levels),
-            drawn as (select d.*, t.source_size, t.target, (('0x' || substr(md5(coalesce(doc_id::varchar, '~') || '|' || size::varchar), 1, 13))::bigint::double + 0.5) / 4503599627370496.0 as u,
+            targets as (select source, source_size, tilted, case when is_full then cap::double else (w * (select l from free))::double / ((select wl from free) * 2)::double end as target from levels),
+            drawn as (select d.*, t.source_size, t.target, t.tilted, (('0x' || substr(md5(coalesce(doc_id::varchar, '~') || '|' || size::varchar), 1, 13))::bigint::double + 0.5) / 4503599627370496.0 as u,
                 case when t.source_size > 0 then target / t.source_size::double else 0.0 end as e
                 from docs d join targets t on d.source is not distinct from t.source),
-            parts as (select *, floor(e) as whole, e - floor(e) as p from drawn),
+            parts as (select *, floor(e) as whole, least(greatest((e - floor(e)) * case when tilted > 0 then tilt::double * (source_size::double / tilted) else 0.0 end, 0.0), 1.0) as p from drawn),
             ranked as (select *, least(floor(u * (1 - p) / (u * (1 - p) + (1 - u) * p) * 68719476736.0), 68719476735.0)::bigint as slot,
                 case when whole < 2 then size else 0 end as extra from parts),
             slots as (select source, slot, any_value(target) - 0 as target, sum(extra)::bigint as words from ranked group by source, slot),
@@ -131,8 +142,15 @@ def oracle_sql() -> dict[str, str]:
             from documents d left join kept using (doc_id)
         """,
         "op7_preference_chat": """
-            with t as (select (conv_id // 2)::bigint as pair_id, conv_id % 2 as side, coalesce(role, '') as role, coalesce(text, '') as text,
-                row_number() over (partition by conv_id order by turn, role, text) - 1 as i from conversations where conv_id is not null),
+            with raw as (select conv_id, turn, replace(coalesce(role, ''), '<|im_', '<| im_') as role, replace(coalesce(text, ''), '<|im_', '<| im_') as text
+                from conversations where conv_id is not null),
+            numbered as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as i from raw),
+            final as (select * from numbered where role = 'assistant' qualify row_number() over (partition by conv_id order by i desc) = 1),
+            ends as (select n.conv_id, min(n.i) as a, max(n.i) as z from numbered n join final f on n.conv_id = f.conv_id and n.turn is not distinct from f.turn and n.role = f.role and n.text = f.text group by 1),
+            sides as (select conv_id, 0 as side, turn, role, text from numbered join ends using (conv_id) where i <= z
+                union all select conv_id, 1, turn, role, text from numbered join ends using (conv_id) where i < a
+                union all select n.conv_id, 1, n.turn, n.role, f.text from numbered n join ends e on n.conv_id = e.conv_id and n.i between a and z join final f on f.conv_id = n.conv_id + 1),
+            t as (select conv_id as pair_id, side, role, text, row_number() over (partition by conv_id, side order by turn nulls first, role, text) - 1 as i from sides),
             c as (select * from t where side = 0), r as (select * from t where side = 1),
             lens as (select pair_id, least(count(*) filter (where side = 0), count(*) filter (where side = 1)) as both_ from t group by pair_id),
             diff as (select c.pair_id, min(c.i) as first from c join r on c.pair_id = r.pair_id and c.i = r.i where c.role <> r.role or c.text <> r.text group by c.pair_id),
