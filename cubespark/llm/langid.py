@@ -9,6 +9,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,39 +32,68 @@ def grams_of(word: str, n: int) -> list[str]:
     return [word[i : i + n] for i in range(len(word) - n + 1)]
 
 
+def _hashes(grams: list[str]) -> np.ndarray:
+    """The 64-bit hash by which the model knows a word or an n-gram; as Spark's xxhash64."""
+    return np.fromiter((xxhash.xxh64_intdigest(g.encode(), 42) for g in grams), np.uint64, len(grams))
+
+
 class WordFirstModel:
-    """Log frequencies by language of words (kind 0) and of n-grams (kind n)."""
+    """Log frequencies by language of words (kind 0) and of n-grams (kind n), in order of their hashes.
+
+    ``tables`` has for each kind the sorted hashes and the counts, one column a language. Two of a million n-grams
+    share a 64-bit hash with a probability of 3 in 100 million.
+    """
 
-    def __init__(self, counts: dict[int, dict[str, dict[str, int]]], langs: list[str]):
+    def __init__(self, tables: dict[int, tuple[np.ndarray, np.ndarray]], langs: list[str]):
         self.langs = langs
-        place = {x: i for i, x in enumerate(langs)}
-        self.index: dict[int, dict[str, int]] = {}
-        self.logs: dict[int, np.ndarray] = {}
-        self.seen = np.zeros((0, len(langs)), bool)
+        none = (np.zeros(0, np.uint64), np.zeros((0, len(langs))))
+        tables = {kind: tables.get(kind, none) for kind in range(LONGEST + 1)}
+        self.hashes = {kind: hashes for kind, (hashes, _) in tables.items()}
+        self.logs = {kind: np.log((n + 0.5) / (n.sum(axis=0) + 0.5 * max(len(n), 1))).astype(np.float32) for kind, (_, n) in tables.items()}
+        self.seen = tables[0][1] > 0
+
+    @classmethod
+    def of(cls, counts: dict[int, dict[str, dict[str, int]]], langs: list[str]) -> WordFirstModel:
+        """From counts of grams by language for each kind."""
+        tables = {}
         for kind, grams in counts.items():
-            table = np.zeros((len(grams), len(langs)))
-            for i, by in enumerate(grams.values()):
-                for lang, n in by.items():
-                    table[i, place[lang]] = n
-            self.index[kind] = {gram: i for i, gram in enumerate(grams)}
-            self.logs[kind] = np.log((table + 0.5) / (table.sum(axis=0) + 0.5 * max(len(grams), 1)))
-            if kind == 0:
-                self.seen = table > 0
-
-    def vector(self, word: str) -> np.ndarray:
-        known = self.index.get(0, {}).get(word)
-        if known is not None:
-            return self.logs[0][known]
+            hashes = _hashes(list(grams))
+            table = np.array([[by.get(x, 0) for x in langs] for by in grams.values()], float).reshape(len(grams), len(langs))
+            order = np.argsort(hashes)
+            tables[kind] = hashes[order], table[order]
+        return cls(tables, langs)
+
+    def _find(self, kind: int, grams: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Places of ``grams`` and whether they are there."""
+        known, asked = self.hashes[kind], _hashes(grams)
+        at = np.minimum(np.searchsorted(known, asked), max(len(known) - 1, 0))
+        return at, known[at] == asked if len(known) else np.zeros(len(asked), bool)
+
+    def vectors(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Log frequencies of each word by language, and for each language whether it has the word.
+
+        A word in no language backs off to the mean of its longest n-grams that are known; one without any has zeros.
+        """
+        logs, knows = np.zeros((len(words), len(self.langs))), np.zeros((len(words), len(self.langs)), bool)
+        at, there = self._find(0, words)
+        logs[there], knows[there] = self.logs[0][at[there]], self.seen[at[there]]
+        left = np.flatnonzero(~there)
         for n in range(LONGEST, 0, -1):
-            index = self.index.get(n, {})
-            if found := [index[g] for g in grams_of(word, n) if g in index]:
-                return self.logs[n][found].mean(axis=0)
-        return np.zeros(len(self.langs))
+            if not len(left):
+                break
+            grams = [grams_of(words[i], n) for i in left]
+            owner = np.repeat(left, [len(x) for x in grams])
+            at, there = self._find(n, [g for x in grams for g in x])
+            owner, at = owner[there], at[there]
+            if len(owner):
+                starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+                many = np.diff(np.r_[starts, len(owner)])
+                logs[owner[starts]] = np.add.reduceat(self.logs[n][at], starts, axis=0) / many[:, None]
+                left = np.setdiff1d(left, owner[starts], assume_unique=True)
+        return logs, knows
 
-    def knows(self, word: str) -> np.ndarray:
-        """For each language, whether it has the word."""
-        known = self.index.get(0, {}).get(word)
-        return self.seen[known] if known is not None else np.zeros(len(self.langs), bool)
+    def vector(self, word: str) -> np.ndarray:
+        return self.vectors([word])[0][0]
 
     @cached_property
     def scorer(self) -> Scorer:
@@ -77,24 +107,27 @@ class Scorer:
     def __init__(self, model: WordFirstModel):
         self.model = model
         self.places: dict[str, int] = {}
-        self.table = np.zeros((1024, 2 * len(model.langs)))  # logs, then 1 where a language knows the word
-
-    def _place(self, word: str) -> int:
-        i = self.places[word] = len(self.places)
-        if i >= len(self.table):
+        self.table = np.zeros((1024, 2 * len(model.langs)), np.float32)  # logs, then 1 where a language knows the word
+
+    def _learn(self, words: list[str]) -> None:
+        new = [w for w in dict.fromkeys(words) if w not in self.places]
+        if len(self.places) + len(new) > MEMO:  # a part of a text has fewer words
+            self.places.clear()
+            new = list(dict.fromkeys(words))
+        if not new:
+            return
+        first = len(self.places)
+        while first + len(new) > len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        self.table[i] = np.concatenate([self.model.vector(word), self.model.knows(word)])
-        return i
+        self.table[first : first + len(new)] = np.concatenate(self.model.vectors(new), axis=1)
+        self.places.update(zip(new, range(first, first + len(new)), strict=True))
 
     def predict(self, text: str) -> tuple[str, float, float]:
         both, letters, n = np.zeros(self.table.shape[1]), False, 0
         for words in words_of(text):
-            if len(self.places) >= MEMO:
-                self.places.clear()
             letters = letters or any(c.isalpha() for w in words for c in w)
-            get, add = self.places.get, self._place
-            at = [i if (i := get(w)) is not None else add(w) for w in words]
-            both += self.table[at].sum(axis=0)
+            self._learn(words)
+            both += self.table[list(map(self.places.__getitem__, words))].sum(axis=0, dtype=np.float64)
             n += len(words)
         if not letters or not self.model.langs:
             return "und", 0.0, 0.0
@@ -111,6 +144,7 @@ def _counted(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for k in range(1, LONGEST + 1):
                 for gram in grams_of(word, k):
                     grams[k, gram, lang] += n
+        seen.clear()
         kinds, names, langs = zip(*grams, strict=True) if grams else ((), (), ())
         return pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(names, pa.string()), pa.array(langs, pa.string()), pa.array(list(grams.values()), pa.int64())], ["kind", "gram", "lang", "n"])
 
@@ -118,36 +152,45 @@ def _counted(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in parts:
         for lang, text in zip(part.column(0).to_pylist(), as_bytes(part.column(1)), strict=True):
             for words in words_of(text.decode("utf-8", "replace")):
-                seen.update((lang, w) for w in words)
-            if len(seen) > COUNTED:
-                yield out()
-                seen.clear()
+                for start in range(0, len(words), COUNTED):
+                    seen.update((lang, w) for w in words[start : start + COUNTED])
+                    if len(seen) > COUNTED:
+                        yield out()
     if seen:
         yield out()
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang", rows_per_lang: int = 3000, max_words: int = 50_000, max_grams: int = 20_000) -> WordFirstModel:
+def train(docs: DataFrame, text: str = "text", lang: str = "lang", rows_per_lang: int = 3000, most_langs: int = 1000) -> WordFirstModel:
     """A model from the rows of ``docs`` that have a text and a language.
 
-    It is fitted on about ``rows_per_lang`` rows of each language at most, fixed by the hash of the text, and keeps
-    each language's ``max_words`` commonest words and ``max_grams`` commonest n-grams of each length, with their counts
-    in all languages. The set of languages, not the rows, comes to the driver before. Without any row it knows no language.
+    It is fitted on about ``rows_per_lang`` rows of each language at most, fixed by the hash of the text; copies of a
+    text in one language count once there. Every word and n-gram of these rows is kept, with its counts in all
+    languages: hashes and counts, no texts, come to the driver. Over ``most_langs`` languages are an error (a column
+    that names none). Without any row the model knows no language.
     """
     rows = docs.filter(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not sizes:
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(most_langs + 1).collect()}
+    if len(sizes) > most_langs:
+        raise ValueError(f"{lang} has over {most_langs} values")
+    langs = sorted(sizes)
+    if not langs:
         return WordFirstModel({}, [])
     share = F.create_map(*(F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, rows_per_lang / n) * (1 << 30))))
     some = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.element_at(share, F.col("lang")))
+    some = some.groupBy("lang", F.xxhash64("text").alias("_h")).agg(F.any_value("text").alias("text")).select("lang", "text")
     counts = some.mapInArrow(_counted, "kind int, gram string, lang string, n long")
     by = counts.groupBy("kind", "gram", "lang").agg(F.sum("n").alias("n"))
-    grams = by.groupBy("kind", "gram").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by")).persist()
-    of = lambda x, k: grams.filter((F.col("kind") == k) & F.col("by").getItem(x).isNotNull()).orderBy(F.col("by").getItem(x).desc(), "gram")
-    try:
-        best = {k: {r["gram"]: r["by"] for x in sorted(sizes) for r in of(x, k).limit(max_grams if k else max_words).collect()} for k in range(LONGEST + 1)}
-    finally:
-        grams.unpersist()
-    return WordFirstModel(best, sorted(sizes))
+    place = F.create_map(*(F.lit(x) for i, k in enumerate(langs) for x in (k, i)))
+    found = by.select(F.col("kind").cast("tinyint").alias("kind"), F.xxhash64("gram").alias("h"), F.element_at(place, F.col("lang")).cast("smallint").alias("lang"), "n").toArrow()
+    kind, h, of, n = (found.column(i).to_numpy() for i in range(4))
+    tables = {}
+    for k in range(LONGEST + 1):
+        mine = kind == k
+        hashes, at = np.unique(h[mine].view(np.uint64), return_inverse=True)
+        table = np.zeros((len(hashes), len(langs)), np.float32)
+        np.add.at(table, (at, of[mine]), n[mine])
+        tables[k] = hashes, table
+    return WordFirstModel(tables, langs)
 
 
 def identify(docs: DataFrame, model: WordFirstModel, text: str = "text") -> DataFrame:

@@ -6,13 +6,14 @@ import re
 import zlib
 from collections import Counter
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, fresh, safe_pieces
+from .common import as_bytes, cut, fresh, maybe_broadcast, safe_pieces
 
 #: Buckets of the hashed features, and distinct words whose features a worker remembers.
 BUCKETS, MEMO = 1 << 18, 300_000
@@ -28,10 +29,10 @@ def _word_features(word: str) -> tuple[int, ...]:
     """
     before, core, after = _CORE.match(word).groups()
     low = core.lower()
-    names = [f"w{low}"] if low else [f"m{word[:8]}"]
+    names = [f"w{low}"] if low else [f"m{word}"]
     names += [f"p{low[:n]}" for n in BEGINNINGS if len(low) > n]
-    names += [f"a{after[:4]}"] if len(after) > 1 else []
-    names += [f"b{before[:4]}"] if before and low else []
+    names += [f"a{after}"] if len(after) > 1 else []
+    names += [f"b{before}"] if before and low else []
     names += ["shout"] if len(core) > 1 and core == core.upper() != low else []
     return tuple(zlib.crc32(x.encode()) % BUCKETS for x in names)
 
@@ -59,6 +60,12 @@ class Features:
         return at, weight / max(np.sqrt((weight**2).sum()), 1e-12)
 
 
+@lru_cache(maxsize=1)
+def features() -> Features:
+    """One for each Python worker."""
+    return Features()
+
+
 @dataclass(frozen=True)
 class OrdinalModel:
     """P(grade <= k) = 1 / (1 + exp(score - thresholds[k])): one weight vector for all grades, ordered thresholds."""
@@ -72,30 +79,21 @@ class OrdinalModel:
         return 1 / (1 + np.exp(np.clip(self.thresholds - score, -50, 50)))
 
 
-def fit_ordinal(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n_grades: int, rounds: int = 200, rate: float = 1.5, decay: float = 1e-5, least_rows: int = 8) -> OrdinalModel:
-    """Weights and thresholds by Adam on the whole of ``rows``. Thresholds are a first value and positive gaps.
+def fit_ordinal(at: np.ndarray, value: np.ndarray, size: np.ndarray, grades: np.ndarray, n_grades: int, rounds: int = 200, rate: float = 1.5, decay: float = 1e-5, rare: float = 8.0) -> OrdinalModel:
+    """Weights and thresholds by Adam on all rows: ``size`` features each, ``at`` a bucket with a ``value``.
 
-    Buckets that fewer than ``least_rows`` rows have keep weight 0: they would only be learned by heart. The others
-    are scaled by their inverse document frequency, which the weights returned include.
+    Thresholds are a first value and positive gaps. Features are scaled by their inverse document frequency and by
+    m / (m + ``rare``) of the m rows that have them, so that rare ones count less and none is left out; the weights
+    returned include both.
     """
-    size = np.array([len(a) for a, _ in rows])
-    keep = size > 0
-    rows, grades, size = [r for r, k in zip(rows, keep, strict=True) if k], grades[keep], size[keep]
-    if not rows:
-        return OrdinalModel(np.zeros(BUCKETS, np.float32), np.arange(n_grades - 1, dtype=float))
-    n, owner = len(rows), np.repeat(np.arange(len(rows), dtype=np.int32), size)
-    at, value = np.concatenate([a for a, _ in rows]), np.concatenate([v for _, v in rows])
-    rows.clear()
-    names, at, times = np.unique(at, return_inverse=True, return_counts=True)
-    frequent = times >= least_rows
-    kept = frequent[at]
-    names, owner, value, at = names[frequent], owner[kept], value[kept], (np.cumsum(frequent, dtype=np.int32) - 1)[at[kept]]
-    idf = np.log1p(n / times[frequent])
-    value = value * idf[at]
-    w, t = np.zeros(len(names)), np.r_[-1.0, np.zeros(n_grades - 2)]
+    n, owner = len(size), np.repeat(np.arange(len(size), dtype=np.int32), size)
+    times = np.bincount(at, minlength=BUCKETS)
+    scale = np.log1p(n / np.maximum(times, 1)) * times / (times + rare)
+    value = value * scale[at].astype(np.float32)
+    w, t = np.zeros(BUCKETS), np.r_[-1.0, np.zeros(n_grades - 2)]
     state = [np.zeros_like(x) for x in (w, w, t, t)]
     sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -50, 50)))
-    for step in range(1, rounds + 1):
+    for step in range(1, rounds + 1 if n else 0):
         edges = np.r_[-np.inf, t[0] + np.r_[0, np.cumsum(np.exp(t[1:]))], np.inf]
         score = np.bincount(owner, w[at] * value, n)
         high, low = sigmoid(edges[grades + 1] - score), sigmoid(edges[grades] - score)
@@ -105,39 +103,51 @@ def fit_ordinal(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n
         d_edges = np.bincount(grades, -d_high, n_grades)[: n_grades - 1] + np.bincount(grades, d_low, n_grades)[1:]
         d_edges /= n
         d_t = np.r_[d_edges.sum(), np.cumsum(d_edges[::-1])[::-1][1:] * np.exp(t[1:])]
-        d_w = np.bincount(at, d_score[owner] * value, len(names)) + decay * w
+        d_w = np.bincount(at, d_score[owner] * value, BUCKETS) + decay * w
         for i, (x, d) in enumerate(((w, d_w), (t, d_t))):
             m, v = state[2 * i], state[2 * i + 1]
             m += 0.1 * (d - m)
             v += 0.01 * (d * d - v)
             x -= rate * (1 - step / (rounds + 1)) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
-    weights = np.zeros(BUCKETS, np.float32)
-    weights[names] = w * idf
-    return OrdinalModel(weights, t[0] + np.r_[0, np.cumsum(np.exp(t[1:]))])
+    return OrdinalModel((w * scale).astype(np.float32), t[0] + np.r_[0, np.cumsum(np.exp(t[1:]))])
 
 
-def train(docs: DataFrame, rated: DataFrame, n_grades: int, text: str = "text", key: str = "doc_id", max_rows: int = 8000) -> OrdinalModel:
-    """A model from ``rated`` (key, grade 0 .. n_grades - 1), fitted on about ``max_rows`` of its rows at most.
+def train(docs: DataFrame, rated: DataFrame, n_grades: int, text: str = "text", key: str = "doc_id", max_rows: int = 8000, max_bytes: int = 1 << 26) -> OrdinalModel:
+    """A model from ``rated`` (key, grade 0 .. n_grades - 1), fitted on about ``max_rows`` of its keys at most.
 
-    The sample is fixed by the hash of the key; its features, not its texts, come to the driver. Null keys, grades
-    and texts teach nothing; without any row all texts get the same grade.
+    The sample is fixed by the hash of the key; of it, as many rows as hold about ``max_bytes`` of features (8 bytes
+    each) come to the driver, no texts. A key that repeats counts once: the lowest of its grades and, of its texts,
+    the one of the smallest hash. Null keys, grades and texts teach nothing; a grade out of range is an error.
+    Without any row all texts get the same grade.
     """
     of_id, of_grade = fresh(docs, "_id", "_grade")
-    rated = rated.filter(F.col(key).isNotNull() & F.col("grade").isNotNull()).select(F.col(key).alias(of_id), F.col("grade").cast("int").alias(of_grade))
-    share = min(1.0, max_rows / max(rated.count(), 1))
-    some = rated.filter(F.pmod(F.xxhash64(of_id), F.lit(1 << 30)) < int(share * (1 << 30)))
-
-    def features(texts: pa.Array) -> pa.Array:
-        of = Features().of
-        found = [of(x.decode("utf-8", "replace")) for x in as_bytes(texts)]
-        return pa.array([a.astype("<u4").tobytes() + v.astype("<f4").tobytes() for a, v in found], pa.binary())
-
-    rows = docs.join(F.broadcast(some), F.col(key) == F.col(of_id)).filter(F.col(text).isNotNull()).select(F.col(of_id).alias("id"), F.col(of_grade).alias("grade"), F.arrow_udf(features, "binary")(F.col(text)).alias("x")).collect()
-    rows.sort(key=lambda r: (r["id"], r["x"]))
-    grades = np.array([r["grade"] for r in rows], np.int64)
-    split = [(np.frombuffer(r["x"], "<u4", len(r["x"]) // 8), np.frombuffer(r["x"], "<f4", offset=len(r["x"]) // 2)) for r in rows]
-    del rows
-    return fit_ordinal(split, grades, n_grades)
+    rated = rated.filter(F.col(key).isNotNull() & F.col("grade").isNotNull()).groupBy(F.col(key).alias(of_id)).agg(F.min(F.col("grade").cast("int")).alias(of_grade), F.max(F.col("grade").cast("int")).alias("_top"))
+    n, low, high = rated.agg(F.count(F.lit(1)), F.min(of_grade), F.max("_top")).first()
+    if n and not 0 <= low <= high < n_grades:
+        raise ValueError(f"grades {low} .. {high} are not within 0 .. {n_grades - 1}")
+    part = F.pmod(F.xxhash64(of_id), F.lit(1 << 30))
+    some = rated.filter(part < int(min(1.0, max_rows / max(n, 1)) * (1 << 30))).select(of_id, of_grade)
+
+    def found(texts: pa.Array) -> pa.Array:
+        of = features().of
+        each = (of(x.decode("utf-8", "replace")) for x in as_bytes(texts))
+        return pa.array((a.astype("<u4").tobytes() + v.astype("<f4").tobytes() for a, v in each), pa.binary(), size=len(texts))
+
+    held = docs.join(maybe_broadcast(some, min(n, 2 * max_rows)), F.col(key) == F.col(of_id)).filter(F.col(text).isNotNull())
+    held = held.groupBy(of_id, of_grade).agg(F.min_by(F.col(text), F.xxhash64(F.col(text))).alias("text"))
+    held = cut(held.select(F.col(of_id).alias("id"), F.col(of_grade).alias("grade"), F.arrow_udf(found, "binary")("text").alias("x")))
+    size = held.agg(F.coalesce(F.sum(F.octet_length("x")), F.lit(0))).first()[0]
+    if size > max_bytes:  # the same rows whenever the same documents are rated
+        held = held.filter(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1 << 30)) < int(max_bytes / size * (1 << 30)))
+    rows = held.filter(F.octet_length("x") > 0).orderBy(F.xxhash64("id"), "id").toArrow()
+    raw = [x.as_buffer() for x in rows.column("x")]
+    sizes = np.array([x.size // 8 for x in raw], np.int64)
+    none = [np.zeros(0, np.int32)]
+    at = np.concatenate(none + [np.frombuffer(x, "<u4", k).astype(np.int32) for x, k in zip(raw, sizes, strict=True)])
+    value = np.concatenate([np.zeros(0, np.float32)] + [np.frombuffer(x, "<f4", k, 4 * k) for x, k in zip(raw, sizes, strict=True)])
+    grades = rows.column("grade").to_numpy().astype(np.int64)
+    del rows, raw
+    return fit_ordinal(at, value, sizes, grades, n_grades)
 
 
 def grade(docs: DataFrame, model: OrdinalModel, text: str = "text") -> DataFrame:
@@ -149,7 +159,7 @@ def grade(docs: DataFrame, model: OrdinalModel, text: str = "text") -> DataFrame
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS floats
 
     def graded(texts: pa.Array) -> pa.Array:
-        of, model = Features().of, shared.value
+        of, model = features().of, shared.value
         tails = np.array([model.grade(*of(x.decode("utf-8", "replace"))) for x in as_bytes(texts)]).reshape(len(texts), -1)
         return pa.StructArray.from_arrays([pa.array(tails.sum(axis=1)), pa.array(tails[:, -1])], ["e", "t"])
 

@@ -48,7 +48,7 @@ def count_column(path: str, batch_bytes: int, piece_chars: int):
             for piece in safe_pieces(text, piece_chars) if can_cut else (text,):
                 batch.append(piece)
                 owners.append(i)
-                held += len(piece)
+                held += len(raw) if len(piece) == len(text) else len(piece.encode())
                 if held >= batch_bytes:
                     flush()
                     held = 0
