@@ -74,10 +74,12 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text", F.lit("application/octet-stream").alias("declared"))
+    """Declared types are wrong, by the length of the text; what the blobs hold is told by signatures and carved."""
+    wrong = F.get(F.array(*map(F.lit, ("image/gif", "application/pdf", "audio/ogg"))), F.pmod(F.coalesce(F.length("text"), F.lit(0)), F.lit(3)))
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", wrong.alias("declared"))
     found = media.carve(media.sniff(media.store(docs), "media", "declared"), "media")
-    back = media.read_back(found.withColumn("first", F.get("carved", 0)), "first")
-    one = F.get("found", 0)
+    back = media.read_back(found, "carved")
+    each = F.transform("found", lambda x: F.concat(x["type"], F.lit("@"), x["start"], F.lit("+"), x["length"]))
     return back.select(
         "doc_id",
         F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
@@ -86,7 +88,7 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.crc32(F.substring("payload", -32, 32)).alias("tail_crc32"),
         F.octet_length("media").cast("long").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"),
-        F.concat_ws(";", "actual_type", one["start"], one["length"], F.size("found")).alias("feature"),
+        F.concat_ws(";", "actual_type", F.array_join(each, ",")).alias("feature"),
     )
 
 

@@ -435,15 +435,79 @@ def test_backoff_goes_from_words_to_shorter_grams():
     assert not model.vector("zzz").any()
 
 
+def payload_by_hand(text, unit=576):
+    raw = (text or "").encode()
+    return raw + b"\xff" * (-len(raw) % unit or (0 if raw else unit))
+
+
+def decoded_by_hand(blob):
+    """(samples, features) by the standard library's reader of WAV and a plain one of PNG."""
+    import io
+    import wave
+
+    with wave.open(io.BytesIO(blob)) as f:
+        assert (f.getnchannels(), f.getsampwidth()) == (1, 1)
+        payload = f.readframes(f.getnframes())
+    end = 8 + int.from_bytes(blob[4:8], "little")
+    found = f"audio/wav@0+{end}"
+    at = blob.find(b"\x89PNG\r\n\x1a\n", end)
+    if at >= 0:
+        assert at == end + 6 and blob[-8:-4] == b"IEND"
+        width, height, depth, colour = struct.unpack(">IIBB", blob[at + 16 : at + 26])
+        assert (width, depth, colour) == (576, 8, 0)
+        size = int.from_bytes(blob[at + 33 : at + 37], "big")
+        rows = zlib.decompress(blob[at + 41 : at + 41 + size])
+        assert not any(rows[::577])
+        payload += b"".join(rows[i + 1 : i + 577] for i in range(0, 577 * height, 577))
+        found += f",image/png@{at}+{len(blob) - at}"
+    return payload, f"audio/wav;{found}"
+
+
 def test_media(docs, none):
-    made = media.read_back(media.carve(media.sniff(media.store(docs.withColumn("declared", F.lit("image/gif"))), "media", "declared"), "media").withColumn("one", F.get("carved", 0)), "one")
+    made = media.read_back(media.carve(media.sniff(media.store(docs.withColumn("declared", F.lit("image/gif"))), "media", "declared"), "media"), "carved")
     got = plain(made, "text", "media", "found", "actual_type", "payload")
-    assert len(got) == docs.count()
+    assert len(got) == docs.count() and {len(r[2]) for r in got} == {1, 2}
     for text, blob, found, kind, payload in got:
-        raw = (text or "").encode()
-        want = raw + b"\xff" * (-len(raw) % 576 or (0 if raw else 576))
-        assert bytes(payload) == want and [(x["start"], x["length"]) for x in found] == [(0, len(blob))] and kind == found[0]["type"]
-    assert media.store(none).count() == 0
+        assert bytes(payload) == payload_by_hand(text) == decoded_by_hand(bytes(blob))[0]
+        assert f"{kind};" + ",".join(f"{x['type']}@{x['start']}+{x['length']}" for x in found) == decoded_by_hand(bytes(blob))[1]
+    for df in (media.store(none), media.sniff(media.store(none), "media", "text")):
+        assert df.count() == 0
+
+
+def frames_by_hand(n, total):
+    """A FLAC file of ``n`` frames of 192 constant samples; ``total`` is promised."""
+
+    def crc(bits, poly, data):
+        x = 0
+        for byte in data:
+            x ^= byte << bits - 8
+            for _ in range(8):
+                x = (x << 1 ^ poly if x >> bits - 1 else x << 1) & (1 << bits) - 1
+        return x
+
+    info = struct.pack(">HH", 192, 192) + bytes(6) + ((44100 << 44) | (7 << 36) | total).to_bytes(8, "big") + bytes(16)
+    out = b"fLaC\x80\0\0\x22" + info
+    for i in range(n):
+        frame = bytes([0xFF, 0xF8, 0x19, 0x02, i])
+        frame += bytes([crc(8, 7, frame)]) + bytes([0, 100 + i])
+        out += frame + crc(16, 0x8005, frame).to_bytes(2, "big")
+    return out
+
+
+def test_more_formats():
+    flac = frames_by_hand(3, 576)
+    assert media.scan(b"x" + flac + b"tail") == [("audio/flac", 1, len(flac))] and media.scan(frames_by_hand(3, 0)) == [("audio/flac", 0, len(flac))]
+    assert media.scan(flac[:-1]) == media.scan(frames_by_hand(2, 576)) == []
+    wav = media.as_wav(b"ab")
+    assert [k for k, *_ in media.scan(flac + wav)] == ["audio/flac", "audio/wav"]
+    webp = b"RIFF" + struct.pack("<I", 18) + b"WEBPVP8 " + struct.pack("<I", 5) + b"12345\0"
+    mp4 = b"".join(struct.pack(">I4s", 8 + len(x), k) + x for k, x in ((b"ftyp", b"isom0000"), (b"moov", b"m" * 9), (b"mdat", b"d" * 30)))
+    frame = b"\xff\xfb\x90\x00"
+    mp3 = b"ID3\x03\0\0\0\0\0\x02ab" + (frame + b"x" * (144 * 128000 // 44100 - 4)) * 3
+    for kind, body in (("image/webp", webp), ("video/mp4", mp4), ("audio/mpeg", mp3), ("audio/mpeg", mp3[12:])):
+        assert media.scan(b"??" + body + b"!!") == [(kind, 2, len(body))], kind
+        assert media.scan(body[:-1]) == [], kind
+    assert media.scan(b"PK\x03\x04" * 30_000 + b"%PDF-1." * 30_000 + b"BM" * 1000) == []
 
 
 def test_scan_carves_and_refuses():
@@ -523,9 +587,9 @@ def test_digests_of_media_query(spark):
 
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     for r in op9_media(spark, SF).collect():
-        raw = (texts[r["doc_id"]] or "").encode()
-        p = raw + b"\xff" * (-len(raw) % 576 or (0 if raw else 576))
-        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]))
+        p, blob = payload_by_hand(texts[r["doc_id"]]), media.as_media(payload_by_hand(texts[r["doc_id"]]))
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len((texts[r["doc_id"]] or "").encode()), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]))
+        assert (r["media_bytes"], r["media_sha256"]) == (len(blob), hashlib.sha256(blob).hexdigest()) and decoded_by_hand(blob) == (p, r["feature"])
 
 
 def test_pipeline(spark):
