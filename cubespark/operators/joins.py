@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import at_offset, grid_index, micros, offset, ts
+from ..functions import at_offset, grid_index, micros, offset
 
 #: Whether touching ends count: (annotation's end at a request's start, annotation's start at a request's end).
 TOUCH = {"neither": (True, True), "both": (False, False), "left": (True, False), "right": (False, True)}
@@ -18,40 +18,77 @@ def overlaps(a0: Column, a1: Column, b0: Column, b1: Column, closed: str = "neit
     return ((a1 >= b0) if end else (a1 > b0)) & ((a0 <= b1) if start else (a0 < b1))
 
 
-def overlap_join(annotations: DataFrame, requests: DataFrame, width: timedelta, closed: str = "neither", on: list[str] | None = None, most_bins: int = 64) -> DataFrame:
+def _levels(df: DataFrame) -> list[int]:
+    return sorted(r[0] for r in df.select("_level").distinct().collect())  # a dozen numbers at most
+
+
+def overlap_join(annotations: DataFrame, requests: DataFrame, width: timedelta, closed: str = "neither", on: list[str] | None = None, any_of: list[str] | None = None, most_bins: int = 64, salts: int = 1) -> DataFrame:
     """Pairs of annotations (a_start, a_stop, ..) and requests (r_start, r_stop, ..) that overlap, each once.
 
-    Both sides are dealt to grid cells of ``width``, so that an equi join finds candidates; a pair counts in the
-    later of the two first cells only, so no pair comes twice. Intervals over more than ``most_bins`` cells go
-    to cells 64 times as wide, and so on upwards, and each level of one side meets each level of the other.
-    ``on`` are further columns (of both sides, equal names) that must be equal.
+    ``width`` is the finest grid. An interval lives at the first level at which it covers ``most_bins`` cells or
+    fewer; levels are ``most_bins`` times as wide one by one. Two intervals meet at the coarser of their two levels
+    only: an equi join takes annotations at home with requests of that level or finer ones, another one requests at
+    home with finer annotations, and no finer interval is copied to a level at which nothing of the other side
+    lives. So every candidate shares a cell with an interval about as long as the cell or longer, and candidates
+    are about as many as results. A pair counts in the later of its two first cells, so none comes twice.
+
+    ``on`` are further columns (of both sides, equal names) that must be equal; of each column in ``any_of``, scalars
+    or arrays on either side, any element of one must be one of the other's. ``salts`` deals each cell's annotations
+    to as many tasks, with a copy of its requests each, for cells that hold a large part of all rows. Intervals
+    whose start is after their stop, or null, overlap nothing and give no pair.
     """
-    on = on or []
-    ratio, cells = most_bins, [micros(width)]
-    while cells[-1] * ratio < 1 << 62:  # wide enough for any interval
-        cells.append(cells[-1] * ratio)
+    on, any_of = on or [], any_of or []
+    cells = [micros(width)]
+    while cells[-1] * most_bins < 1 << 62:  # wide enough for any interval
+        cells.append(cells[-1] * most_bins)
     wide = F.array(*map(F.lit, cells))
 
+    def cell(time: str, level: Column) -> Column:
+        size = F.element_at(wide, level + 1)
+        return F.call_function("div", offset(time) - F.pmod(offset(time), size), size)
+
     def levelled(df: DataFrame, start: str, stop: str) -> DataFrame:
         us = F.greatest(offset(stop) - offset(start), F.lit(1)).cast("double")
-        level = F.greatest(F.lit(0), F.ceil(F.log(float(ratio), us / (micros(width) * ratio)))).cast("int")
-        level = F.least(level, F.lit(len(cells) - 1))
-        return df.filter(F.col(start) <= F.col(stop)).withColumn("_level", level)
-
-    def first(time: str, level: Column) -> Column:
-        cell = F.element_at(wide, level + 1)
-        return F.call_function("div", offset(time) - F.pmod(offset(time), cell), cell)
-
-    a = levelled(annotations, "a_start", "a_stop")
-    b = levelled(requests, "r_start", "r_stop")
-    levels = F.explode(F.array(*map(F.lit, range(len(cells)))))
-    # each side meets the other at the coarser of the two levels
-    a = a.withColumn("_at", levels).filter("_at >= _level").withColumn("_a0", first("a_start", F.col("_at"))).withColumn("_cell", F.explode(F.sequence("_a0", first("a_stop", F.col("_at")))))
-    b = b.withColumn("_at", levels).filter("_at >= _level").withColumn("_b0", first("r_start", F.col("_at"))).withColumn("_cell", F.explode(F.sequence("_b0", first("r_stop", F.col("_at")))))
-    b = b.withColumnRenamed("_level", "_level_b")
-    out = a.join(b, [*on, "_at", "_cell"]).filter((F.col("_at") == F.greatest("_level", "_level_b")) & (F.col("_cell") == F.greatest("_a0", "_b0")))
+        level = F.greatest(F.lit(0), F.ceil(F.log(float(most_bins), us / (cells[0] * most_bins)))).cast("int")
+        return df.filter(F.col(start) <= F.col(stop)).withColumn("_level", F.least(level, F.lit(len(cells) - 1)))
+
+    def dealt(df: DataFrame, start: str, stop: str, at: Column, first: str) -> DataFrame:
+        df = df.withColumn("_at", at).withColumn(first, cell(start, F.col("_at")))
+        return df.withColumn("_cell", F.explode(F.sequence(F.col(first), cell(stop, F.col("_at"))))).drop("_level")
+
+    def finer(df: DataFrame, levels: list[int], strictly: bool) -> tuple[DataFrame, Column]:
+        at = F.explode(F.array(*map(F.lit, levels)).cast("array<int>"))
+        return df.withColumn("_up", at).filter((F.col("_up") > F.col("_level")) if strictly else (F.col("_up") >= F.col("_level"))), F.col("_up")
+
+    a, b = levelled(annotations, "a_start", "a_stop"), levelled(requests, "r_start", "r_stop")
+    salt = F.pmod(F.xxhash64(F.to_json(F.struct(*annotations.columns))), F.lit(salts)).cast("int") if salts > 1 else F.lit(0)
+    every = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))) if salts > 1 else F.lit(0)
+    both = []
+    for home_is_a, levels in ((True, _levels(a)), (False, _levels(b))):
+        other, at = finer(b if home_is_a else a, levels, strictly=not home_is_a)
+        left = dealt(a if home_is_a else other, "a_start", "a_stop", F.col("_level") if home_is_a else at, "_a0").drop("_up").withColumn("_salt", salt)
+        right = dealt(other if home_is_a else b, "r_start", "r_stop", at if home_is_a else F.col("_level"), "_b0").drop("_up").withColumn("_salt", every)
+        both.append(_matched(left, right, on, any_of).filter(F.col("_cell") == F.greatest("_a0", "_b0")))
+    out = both[0].unionByName(both[1])
     out = out.filter(overlaps(F.col("a_start"), F.col("a_stop"), F.col("r_start"), F.col("r_stop"), closed))
-    return out.drop("_level", "_level_b", "_at", "_cell", "_a0", "_b0")
+    return out.drop("_at", "_cell", "_salt", "_a0", "_b0")
+
+
+def _matched(left: DataFrame, right: DataFrame, on: list[str], any_of: list[str]) -> DataFrame:
+    """Rows of one cell that agree in ``on`` and share an element in each of ``any_of``, whose columns of the right side are dropped."""
+    listed = lambda df, c: F.col(c) if df.schema[c].dataType.typeName() == "array" else F.array(F.col(c))
+    right = right.withColumnsRenamed({c: f"_r_{c}" for c in any_of})
+    out = left.join(right, [*on, "_at", "_cell", "_salt"])
+    for c in any_of:
+        out = out.filter(F.arrays_overlap(listed(left, c), listed(right, f"_r_{c}")))
+    return out.drop(*(f"_r_{c}" for c in any_of))
+
+
+def rows_within(rows: DataFrame, segments: DataFrame, width: timedelta, time: str = "ts") -> DataFrame:
+    """``rows`` with the column ``segment`` of each of ``segments`` (segment, start, stop) whose half-open span holds their time."""
+    points = rows.withColumns({"a_start": F.col(time), "a_stop": F.col(time)})
+    spans = segments.select("segment", F.col("start").alias("r_start"), F.col("stop").alias("r_stop"))
+    return overlap_join(points, spans, width, "left").drop("a_start", "a_stop", "r_start", "r_stop")
 
 
 def per_request(requests: DataFrame, pairs: DataFrame, request: str, annotation: str) -> DataFrame:
@@ -78,14 +115,22 @@ def outer_merge(df: DataFrame, index: list[str], name: str, value: str, names: l
     return out.select(*index, *(F.when(F.col(f"{n}_lo") != F.col(f"{n}_hi"), clash.cast("double")).otherwise(F.col(f"{n}_lo")).alias(n) for n in names))
 
 
-def asof_backward(left: DataFrame, right: DataFrame, keys: list[str], time: str, values: list[str]) -> DataFrame:
-    """``left`` with the ``values`` of the last row of ``right`` at or before its time, by one union and one window."""
-    mark = lambda df, side: df.withColumn("_side", F.lit(side))
-    right = right.select(*keys, time, F.struct(*values).alias("_v"))
-    rows = mark(right, 0).unionByName(mark(left, 1), allowMissingColumns=True)
-    before = Window.partitionBy(*keys).orderBy(time, "_side").rowsBetween(Window.unboundedPreceding, 0)
+def asof_backward(left: DataFrame, right: DataFrame, keys: list[str], time: str, values: list[str], cell: timedelta = timedelta(days=1)) -> DataFrame:
+    """``left`` with the ``values`` of the last row of ``right`` at or before its time; of rows of one time, the largest values.
+
+    A union and a window within each ``cell`` of time; what a cell takes over from earlier ones comes from a window over
+    one row a cell. So no task holds more of a series than a cell. Rows of ``left`` with a null key stay, without values.
+    """
+    right = right.select(*keys, time, F.struct(*values).alias("_v")).dropna(subset=[*keys, time])
+    rows = right.withColumn("_side", F.lit(0)).unionByName(left.withColumn("_side", F.lit(1)), allowMissingColumns=True).withColumn("_cell", grid_index(time, cell))
+    last = right.groupBy(*keys, grid_index(time, cell).alias("_cell")).agg(F.max_by("_v", F.struct(time, "_v")).alias("_last"))
+    held = rows.select(*keys, "_cell").distinct().join(last, [*keys, "_cell"], "left")
+    earlier = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    held = held.select(*keys, "_cell", F.last("_last", ignorenulls=True).over(earlier).alias("_old"))
+    before = Window.partitionBy(*keys, "_cell").orderBy(time, "_side", "_v").rowsBetween(Window.unboundedPreceding, 0)
     rest = [c for c in left.columns if c not in (*keys, time)]
-    return rows.withColumn("_v", F.last("_v", ignorenulls=True).over(before)).filter("_side = 1").select(*keys, time, *rest, *(F.col(f"_v.{v}").alias(v) for v in values))
+    out = rows.withColumn("_v", F.last("_v", ignorenulls=True).over(before)).filter("_side = 1").join(held, [*keys, "_cell"], "left").withColumn("_v", F.coalesce("_v", "_old"))
+    return out.select(*keys, time, *rest, *(F.col(f"_v.{v}").alias(v) for v in values))
 
 
 def index_join(streams: list[DataFrame], index: str = "index", invalid: DataFrame | None = None) -> DataFrame:
@@ -95,5 +140,3 @@ def index_join(streams: list[DataFrame], index: str = "index", invalid: DataFram
         out = out.join(other, index)
     return out.join(invalid, index, "left_anti") if invalid is not None else out
 
-
-__all__ = ["asof_backward", "grid_index", "index_join", "outer_merge", "overlap_join", "overlaps", "per_request", "regular_grid", "ts"]

@@ -171,24 +171,26 @@ def segments_cross_dims(spark, sf):
 
 
 def _intervals(spark, sf):
-    """Every lineitem row as an annotation, from the earlier to the later date of its order and its own, and every order as a request."""
-    a = table(spark, sf, "lineitem").join(table(spark, sf, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority"), F.col("l_orderkey") == F.col("o_orderkey"))
+    """Every lineitem row as an annotation, from the earlier to the later date of its order and its own, and every order
+    as a request for three days; both have their customer, as sensors have their station."""
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_orderdate", F.col("o_custkey").alias("customer"), "o_orderpriority")
+    a = table(spark, sf, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     start, stop = F.least("l_shipdate", "o_orderdate"), F.greatest("l_shipdate", "o_orderdate")
-    a = a.select(F.col("l_orderkey").alias("ann_id"), F.col("o_orderpriority").alias("kind"), start.alias("a_start"), stop.alias("a_stop"))
-    r = table(spark, sf, "orders").select(F.col("o_orderkey").alias("req_id"), F.col("o_orderpriority").alias("kind"), F.col("o_orderdate").alias("r_start"), F.timestamp_add("DAY", F.lit(3), "o_orderdate").alias("r_stop"))
+    a = a.select(F.col("l_orderkey").alias("ann_id"), "l_linenumber", "customer", F.col("o_orderpriority").alias("kind"), start.alias("a_start"), stop.alias("a_stop"))
+    r = orders.select(F.col("o_orderkey").alias("req_id"), "customer", F.col("o_orderpriority").alias("kind"), F.col("o_orderdate").alias("r_start"), F.timestamp_add("DAY", F.lit(3), "o_orderdate").alias("r_stop"))
     return a, r
 
 
-IV = """with a as (select l_orderkey as ann_id, o_orderpriority as kind, least(l_shipdate, o_orderdate) as a_start, least(greatest(l_shipdate, o_orderdate), least(l_shipdate, o_orderdate) + interval '60 days') as a_stop
-        from lineitem join orders on l_orderkey = o_orderkey where l_linenumber = 1),
-    r as (select o_orderkey as req_id, o_orderpriority as kind, o_orderdate as r_start, o_orderdate + interval '3 days' as r_stop from orders where o_orderkey % 100 = 0)
-    select ann_id, req_id from a join r on {}"""
+IV = """with a as (select l_orderkey as ann_id, l_linenumber, o_custkey as customer, o_orderpriority as kind, least(l_shipdate, o_orderdate) as a_start, greatest(l_shipdate, o_orderdate) as a_stop from lineitem join orders on l_orderkey = o_orderkey),
+    r as (select o_orderkey as req_id, o_custkey as customer, o_orderpriority as kind, o_orderdate as r_start, o_orderdate + interval '3 days' as r_stop from orders)
+    select ann_id, l_linenumber, req_id from a join r on a.customer = r.customer and {}"""
+PAIR = ["ann_id", "l_linenumber", "req_id"]
 
 
 def _overlap(closed: str, end: str, start: str) -> None:
     def one(spark, sf):
         a, r = _intervals(spark, sf)
-        return joins.overlap_join(a.drop("kind"), r.drop("kind"), timedelta(days=8), closed).select("ann_id", "req_id")
+        return joins.overlap_join(a.drop("kind"), r.drop("kind"), timedelta(days=8), closed, on=["customer"]).select(*PAIR)
 
     one.__name__ = f"overlap_{closed}"
     query(IV.format(f"a_stop {end} r_start and a_start {start} r_stop"))(one)
@@ -200,14 +202,26 @@ for _closed, _end, _start in (("neither", ">=", "<="), ("both", ">", "<"), ("lef
 
 @query(IV.format("a_stop >= r_start and a_start <= r_stop and a.kind = r.kind"))
 def overlap_with_membership(spark, sf):
-    return joins.overlap_join(*_intervals(spark, sf), timedelta(days=8), on=["kind"]).select("ann_id", "req_id")
+    a, r = _intervals(spark, sf)
+    return joins.overlap_join(a, r, timedelta(days=8), on=["customer", "kind"]).select(*PAIR)
+
+
+NEXT = "case {0} when '1-URGENT' then '2-HIGH' when '2-HIGH' then '3-MEDIUM' else '5-LOW' end"
+
+
+@query(IV.format(f"a_stop >= r_start and a_start <= r_stop and list_has_any([a.kind, {NEXT.format('a.kind')}], [r.kind])"))
+def overlap_any_of(spark, sf):
+    """Annotations of two kinds each against requests of one: any element of the one list is in the other."""
+    a, r = _intervals(spark, sf)
+    follows = F.when(F.col("kind") == "1-URGENT", "2-HIGH").when(F.col("kind") == "2-HIGH", "3-MEDIUM").otherwise("5-LOW")
+    return joins.overlap_join(a.withColumn("kind", F.array("kind", follows)), r, timedelta(days=8), on=["customer"], any_of=["kind"]).select(*PAIR)
 
 
-@query("with p as (" + IV.format("a_stop >= r_start and a_start <= r_stop and a.kind = r.kind and ann_id <> req_id and ann_id % 7 = 0") + """)
-    select o_orderkey as req_id, coalesce(string_agg(distinct ann_id::varchar, ',' order by ann_id::varchar), '') as annotations from orders left join p on o_orderkey = req_id where o_orderkey % 100 = 0 group by o_orderkey""")
+@query("with p as (" + IV.format("a_stop >= r_start and a_start <= r_stop and a.kind = r.kind and ann_id <> req_id") + """)
+    select o_orderkey as req_id, coalesce(string_agg(distinct ann_id::varchar, ',' order by ann_id::varchar), '') as annotations from orders left join p on o_orderkey = req_id group by o_orderkey""")
 def annotations_per_request(spark, sf):
     a, r = _intervals(spark, sf)
-    pairs = joins.overlap_join(a, r, timedelta(days=8), on=["kind"]).filter("ann_id <> req_id").withColumn("ann_id", F.col("ann_id").cast("string"))
+    pairs = joins.overlap_join(a, r, timedelta(days=8), on=["customer", "kind"]).filter("ann_id <> req_id").withColumn("ann_id", F.col("ann_id").cast("string"))
     return joins.per_request(r.select("req_id"), pairs, "req_id", "ann_id").withColumn("annotations", F.array_join("annotations", ","))
 
 

@@ -253,28 +253,74 @@ def test_imports_without_the_subpackage(tmp_path):
     assert out.returncode == 0, out.stderr
 
 
+def test_overlap_join_makes_no_more_candidates_than_it_must(spark, monkeypatch):
+    """Long intervals meet short ones at their own level only; what shares a cell there mostly overlaps."""
+    rng = np.random.default_rng(3)
+    at = lambda s: datetime(2000, 1, 1) + timedelta(minutes=int(s))
+    def some(n, lengths):
+        return [(i, at(s), at(s + rng.choice(lengths))) for i, s in enumerate(rng.integers(0, 500_000, n))]
+    ann = spark.createDataFrame(some(1500, [5, 60, 200_000]), "ann long, a_start timestamp_ntz, a_stop timestamp_ntz")
+    req = spark.createDataFrame(some(800, [10, 90]), "req long, r_start timestamp_ntz, r_stop timestamp_ntz")
+    formed, matched = [], joins._matched
+    def counted(*args):
+        out = matched(*args)
+        formed.append(out.count())
+        return out
+    monkeypatch.setattr(joins, "_matched", counted)
+    for salts in (1, 3):
+        formed.clear()
+        pairs = joins.overlap_join(ann, req, timedelta(hours=2), salts=salts).count()
+        assert 0 < pairs <= sum(formed) < 3 * pairs and pairs == ann.join(req, joins.overlaps(F.col("a_start"), F.col("a_stop"), F.col("r_start"), F.col("r_stop"))).count()
+        short = ann.filter("a_stop < a_start + interval 2 hours")
+        formed.clear()
+        joins.overlap_join(short, req, timedelta(hours=2), salts=salts)
+        assert sum(formed) < 10 * short.count()  # of 800,000 pairs
+
+
+def test_overlap_join_with_lists(spark):
+    """Any element of the one list, or scalar, is in the other."""
+    ann = spark.createDataFrame([(0, ["A", "B"], day(1), day(3)), (1, ["C"], day(1), day(3)), (2, None, day(1), day(3)), (3, ["A"], day(9), day(8))], "ann long, station array<string>, a_start timestamp_ntz, a_stop timestamp_ntz")
+    req = spark.createDataFrame([(0, "B", day(2), day(4)), (1, "C", day(2), day(4)), (2, "A", day(5), day(9))], "req long, station string, r_start timestamp_ntz, r_stop timestamp_ntz")
+    pairs = lambda a, r: {(x["ann"], x["req"]) for x in joins.overlap_join(a, r, timedelta(days=1), any_of=["station"]).collect()}
+    assert pairs(ann, req) == {(0, 0), (1, 1)}
+    lists = req.withColumn("station", F.array("station", F.lit("C")))
+    assert pairs(ann, lists) == {(0, 0), (1, 0), (1, 1)} and joins.overlap_join(ann, lists, timedelta(days=1), any_of=["station"]).columns.count("station") == 1
+
+
+def test_asof_join_cell_by_cell(spark):
+    rng = np.random.default_rng(2)
+    rows = lambda n: [(int(k), datetime(1999, 12, 30) + timedelta(hours=int(h)), int(v)) for k, h, v in zip(rng.integers(0, 4, n), rng.integers(0, 300, n), rng.integers(0, 9, n))]
+    a, b = rows(200) + [(None, datetime(2000, 1, 1), 5)], rows(60) + [(None, datetime(2000, 1, 1), 5)]
+    left, right = spark.createDataFrame(a, "k long, ts timestamp_ntz, x long"), spark.createDataFrame(b, "k long, ts timestamp_ntz, y long")
+    got = [tuple(r) for r in joins.asof_backward(left, right, ["k"], "ts", ["y"]).collect()]
+    want = [(k, t, x, max(((u, y) for j, u, y in b if j == k is not None and u <= t), default=(None, None))[1]) for k, t, x in a]
+    assert sorted(got, key=str) == sorted(want, key=str) and any(y is None for *_, y in got)
+
+
 def test_interval_queries_cover_whole_tables(spark, tmp_path):
-    """Every order is a request and every line an unclipped annotation, whatever its id, line number or length."""
+    """Every order is a request and every line an unclipped annotation of its customer, whatever its id, line number or length."""
     from cubespark.queries import queries
 
     rng = np.random.default_rng(6)
-    orders = [(i, datetime(2000, 1, 1) + timedelta(days=int(rng.integers(0, 400))), "AB"[i % 2]) for i in range(1, 31)]
-    lines = [(k, n, at + timedelta(days=int(rng.choice([-300, -61, -60, -3, 0, 3, 60, 61, 300])))) for k, at, _ in orders for n in (1, 2)]
-    spark.createDataFrame(orders, "o_orderkey long, o_orderdate timestamp_ntz, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    orders = [(i, i % 3, datetime(2000, 1, 1) + timedelta(days=int(rng.integers(0, 400))), ["1-URGENT", "2-HIGH", "3-MEDIUM"][i % 2]) for i in range(1, 41)]
+    lines = [(k, n, at + timedelta(days=int(rng.choice([-300, -61, -60, -3, 0, 3, 60, 61, 300])))) for k, _, at, _ in orders for n in (1, 2)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderdate timestamp_ntz, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
     spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_shipdate timestamp_ntz").write.parquet(f"{tmp_path}/lineitem.parquet")
-    of = {k: (at, kind) for k, at, kind in orders}
-    spans = [(k, min(of[k][0], ship), max(of[k][0], ship)) for k, _, ship in lines]
-    whole = [(a, r, a0, a1, at, at + timedelta(days=3)) for a, a0, a1 in spans for r, at, _ in orders]
+    of = {k: (c, at, kind) for k, c, at, kind in orders}
+    spans = [(k, n, min(of[k][1], ship), max(of[k][1], ship)) for k, n, ship in lines]
+    whole = [(a, n, r, a0, a1, at, at + timedelta(days=3)) for a, n, a0, a1 in spans for r, c, at, _ in orders if c == of[a][0]]
+    follows = {"1-URGENT": "2-HIGH", "2-HIGH": "3-MEDIUM"}
     tests = {
-        "overlap_neither": lambda a, r, a0, a1, b0, b1: a1 >= b0 and a0 <= b1,
-        "overlap_both": lambda a, r, a0, a1, b0, b1: a1 > b0 and a0 < b1,
-        "overlap_left": lambda a, r, a0, a1, b0, b1: a1 >= b0 and a0 < b1,
-        "overlap_right": lambda a, r, a0, a1, b0, b1: a1 > b0 and a0 <= b1,
-        "overlap_with_membership": lambda a, r, a0, a1, b0, b1: a1 >= b0 and a0 <= b1 and of[a][1] == of[r][1],
+        "overlap_neither": lambda a, n, r, a0, a1, b0, b1: a1 >= b0 and a0 <= b1,
+        "overlap_both": lambda a, n, r, a0, a1, b0, b1: a1 > b0 and a0 < b1,
+        "overlap_left": lambda a, n, r, a0, a1, b0, b1: a1 >= b0 and a0 < b1,
+        "overlap_right": lambda a, n, r, a0, a1, b0, b1: a1 > b0 and a0 <= b1,
+        "overlap_with_membership": lambda a, n, r, a0, a1, b0, b1: a1 >= b0 and a0 <= b1 and of[a][2] == of[r][2],
+        "overlap_any_of": lambda a, n, r, a0, a1, b0, b1: a1 >= b0 and a0 <= b1 and of[r][2] in (of[a][2], follows[of[a][2]]),
     }
     for name, holds in tests.items():
         got = [tuple(x) for x in queries()[name](spark, str(tmp_path)).collect()]
-        assert sorted(got) == sorted(x[:2] for x in whole if holds(*x)), name
-    near = [x[:2] for x in whole if tests["overlap_with_membership"](*x) and x[0] != x[1]]
+        assert sorted(got) == sorted(x[:3] for x in whole if holds(*x)) != [], name
+    near = {(x[0], x[2]) for x in whole if tests["overlap_with_membership"](*x) and x[0] != x[2]}
     got = {r["req_id"]: r["annotations"] for r in queries()["annotations_per_request"](spark, str(tmp_path)).collect()}
     assert got == {k: ",".join(sorted({str(a) for a, r in near if r == k})) for k in of}
