@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from datetime import datetime
+from datetime import datetime, timedelta
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import offset, ts
+from ..functions import grid_index, offset, ts
 from ..request import to_datetime
 
 
@@ -39,10 +39,26 @@ def select(df: DataFrame, indexers: Mapping[str, Any], closed: str = "left", nam
     return df
 
 
-def positions(df: DataFrame, keys: list[str], order: list[str], start: int, stop: int) -> DataFrame:
-    """Rows ``start`` .. ``stop`` - 1 of each series in ``order``."""
-    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
-    return df.withColumn("position", nth.cast("long")).filter((F.col("position") >= start) & (F.col("position") < stop))
+def positions(df: DataFrame, keys: list[str], order: list[str], start: int, stop: int, cell: timedelta | None = None) -> DataFrame:
+    """Rows ``start`` .. ``stop`` - 1 of each series in ``order``.
+
+    With a ``cell`` (the first of ``order`` is a time) rows are counted cell by cell and only cells that hold wanted
+    places are sorted: no task holds more of a series than a cell.
+    """
+    if cell is None:
+        nth = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
+        return df.withColumn("position", nth.cast("long")).filter((F.col("position") >= start) & (F.col("position") < stop))
+    names = [f"_k{i}" for i in range(len(keys))]
+    df = df.withColumn("_at", grid_index(order[0], cell))
+    counts = df.groupBy(*(F.col(k).alias(n) for k, n in zip(keys, names, strict=True)), F.col("_at").alias("_cell")).agg(F.count(F.lit(1)).alias("_m"))
+    earlier = Window.partitionBy(*names).orderBy(F.col("_cell").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_m").over(earlier), F.lit(0))).filter((F.col("_before") < stop) & (F.col("_before") + F.col("_m") > start))
+    same = F.col("_at").eqNullSafe(F.col("_cell"))
+    for k, n in zip(keys, names, strict=True):
+        same = same & F.col(k).eqNullSafe(F.col(n))
+    place = F.row_number().over(Window.partitionBy(*keys, "_at").orderBy(*order)) - 1 + F.col("_before")
+    out = df.join(counts, same).withColumn("position", place.cast("long")).drop(*names, "_at", "_cell", "_m", "_before")
+    return out.filter((F.col("position") >= start) & (F.col("position") < stop))
 
 
 def nearest(df: DataFrame, time: str, at: datetime, keys: list[str], method: str = "nearest") -> DataFrame:

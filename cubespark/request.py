@@ -63,7 +63,7 @@ def jsonable(value: Any) -> Any:
         return to_datetime(value).isoformat()
     if isinstance(value, timedelta):
         return value.total_seconds()
-    return value
+    return value.mark if hasattr(value, "mark") else value
 
 
 @dataclass(frozen=True)
@@ -80,6 +80,22 @@ class Request:
     def with_indexers(self, **indexers: Any) -> Request:
         return Request({**self.indexers, **indexers}, self.config)
 
+    def covering(self, other: Request) -> Request:
+        """One request for both: equal but for ranges, which are widened to hold both. Other differences are an error."""
+        if self.config != other.config or set(self.indexers) != set(other.indexers):
+            raise ValueError("requests differ in more than their ranges")
+        out = {}
+        for dim, at in self.indexers.items():
+            also = other.indexers[dim]
+            if isinstance(at, Mapping) and isinstance(also, Mapping):
+                ends = {k: [x.get(k) for x in (at, also)] for k in ("start", "stop")}
+                out[dim] = {k: (min if k == "start" else max)(v) for k, v in ends.items() if None not in v}
+            elif at == also:
+                out[dim] = at
+            else:
+                raise ValueError(f"requests differ in {dim}")
+        return Request(out, self.config)
+
     def config_for(self, key: str, kind: str, own: Mapping | None = None) -> dict:
         """A node's parameters; later layers win: its own, indexers, unscoped, global, its type's, its key's."""
         scoped = ("global", "types", "keys")
@@ -95,9 +111,9 @@ class Request:
         return hashlib.sha256(self.canonical().encode()).hexdigest()
 
 
-def controls_to_request(controls: Mapping[str, Any]) -> Request:
-    """A request from flat controls: ``start`` and ``stop`` bound time, dotted names are parameters, others indexers."""
+def controls_to_request(controls: Mapping[str, Any], time: str = "ts") -> Request:
+    """A request from flat controls: ``start`` and ``stop`` bound ``time``, dotted names are parameters, others indexers."""
     given = {k: v for k, v in controls.items() if v is not None}
     span = {k: to_datetime(given.pop(k)) for k in ("start", "stop") if k in given}
     config = unflatten({k: v for k, v in given.items() if "." in k})
-    return Request(({"time": span} if span else {}) | {k: v for k, v in given.items() if "." not in k}, config)
+    return Request(({time: span} if span else {}) | {k: v for k, v in given.items() if "." not in k}, config)

@@ -31,7 +31,7 @@ def test_request_layers_and_hash():
     base = {"a": {"b": 1}}
     assert deep_merge(base, {"a": {"c": 2}}) == {"a": {"b": 1, "c": 2}} and base == {"a": {"b": 1}}
     assert to_datetime("2020-01-01T02:00:00+02:00") == datetime(2020, 1, 1) and not is_datetime("EHE") and is_datetime("2020-01-01")
-    assert controls_to_request({"start": "2020-01-01", "stop": None, "station": "A", "x.y": 1}) == Request({"time": {"start": datetime(2020, 1, 1)}, "station": "A"}, {"x": {"y": 1}})
+    assert controls_to_request({"start": "2020-01-01", "stop": None, "station": "A", "x.y": 1}) == Request({"ts": {"start": datetime(2020, 1, 1)}, "station": "A"}, {"x": {"y": 1}})
 
 
 def test_grid_before_and_on_the_reference(spark):
