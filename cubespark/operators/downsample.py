@@ -70,7 +70,8 @@ def rolling(df: DataFrame, keys: list[str], size: int, stride: int | None = None
     stride, i = stride or size, F.col("_i")
     ahead = 0 if phase == "start" else size - 1  # a window k covers k * stride - ahead and on
     first = F.greatest(F.ceil((i + ahead - size + 1) / stride), F.lit(0))
-    rows = numbered(df, keys, time, value, cell).withColumn("_w", F.explode(F.filter(F.sequence(first, F.floor((i + ahead) / stride)), lambda k: k * stride - ahead <= i)))
+    last = F.floor((i + ahead) / stride)
+    rows = numbered(df, keys, time, value, cell).withColumn("_w", F.explode(F.when(first <= last, F.sequence(first, last))))
     held = rows.groupBy(*keys, "_w").agg(F.sort_array(F.collect_list(F.struct(F.col("_i").alias("i"), F.col(time).alias("t"), F.col(value).alias("v")))).alias("_s")).filter(F.size("_s") == size)
     return held.select(*keys, F.element_at("_s", 1 if phase == "start" else -1)["t"].alias("ts"), F.col("_s.v").alias("window"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -43,3 +43,9 @@ def confusion(df: DataFrame, label: str, predicted: str, classes: list[int]) ->
     """(label, p_0, p_1, ..): counts of predictions by label."""
     wide = df.groupBy(F.col(label).alias("label")).pivot(predicted, classes).agg(F.count(F.lit(1)))
     return wide.select("label", *(F.coalesce(F.col(str(c)), F.lit(0)).cast("long").alias(f"p_{c}") for c in classes))
+
+
+def accuracy(df: DataFrame, label: Column | str, predicted: Column | str) -> DataFrame:
+    """(accuracy): the share of rows whose prediction is their label; null without rows."""
+    same = (F.col(label) if isinstance(label, str) else label).eqNullSafe(F.col(predicted) if isinstance(predicted, str) else predicted)
+    return df.agg(F.avg(same.cast("double")).alias("accuracy"))

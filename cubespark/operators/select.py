@@ -71,3 +71,9 @@ def nearest(df: DataFrame, time: str, at: datetime, keys: list[str], method: str
     away = F.abs(offset(time, at))
     rest = [c for c in df.columns if c not in keys]
     return df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(away, F.col(time))).alias("_row")).select(*keys, "_row.*")
+
+
+def first_of(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """One row for each of ``keys``: the first in ``order``. An aggregate, no sort."""
+    rest = [c for c in df.columns if c not in keys]
+    return df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_row")).select(*keys, "_row.*")

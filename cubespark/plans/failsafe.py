@@ -23,3 +23,9 @@ def guarded(df: DataFrame, value: Column, out: str, failed: Column, error: Colum
 def sound_arrays(array: str, length: int) -> Column:
     """Whether an array has this length, no null and no NaN."""
     return (F.size(array) == length) & F.forall(array, lambda x: x.isNotNull() & ~F.isnan(x))
+
+
+def flags(df: DataFrame, keys: list[str], value: Column, **rules: tuple[str, Column]) -> DataFrame:
+    """(keys, n, flags): how many values are there, and for each rule whether ``all`` or ``any`` of them hold it."""
+    fold = {"all": F.bool_and, "any": F.bool_or}
+    return df.groupBy(*keys).agg(F.count(value).alias("n"), *(fold[how](rule).alias(name) for name, (how, rule) in rules.items()))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import align_ceil, align_floor, at_offset, grid_index, micros, offset
 from ..operators import downsample, joins, select, spectral
 from ..request import Request, to_datetime
+from ..settings import current
 from .failsafe import MODES
 
 
@@ -70,15 +71,15 @@ class Node:
     an input that isn't needed (``transform`` gets None, the branch isn't built); or a ``Splice``. ``fail_mode`` tells
     what becomes of an error while the step is planned or built: ``fail`` raises it, ``warning`` and ``ignore`` put
     None in the place of the result, with or without a warning; a step all of whose wanted inputs are None by
-    failure has no result either. Errors of rows are data, see ``failsafe``.
+    failure has no result either; without one the settings' mode holds. Errors of rows are data, see ``failsafe``.
     """
 
-    def __init__(self, *inputs: Node, name: str | None = None, fail_mode: str = "fail", **config: Any):
-        self.inputs, self.config, self.fail_mode = inputs, config, fail_mode
+    def __init__(self, *inputs: Node, name: str | None = None, fail_mode: str | None = None, **config: Any):
+        self.inputs, self.config, self.fail_mode = inputs, config, fail_mode or current().fail_mode
         self.name = name or type(self).__name__
         if "+" in self.name:
             raise ValueError(f"no + in names: {self.name}")
-        if fail_mode not in MODES:
+        if self.fail_mode not in MODES:
             raise ValueError(f"unknown mode {fail_mode!r}")
 
     def settings(self, request: Request) -> dict:
@@ -344,12 +345,12 @@ def eager(node: Node, spark: SparkSession, frames: list[DataFrame], request: Map
     return node.transform(spark, frames, Request.of(request))
 
 
-def probe(spark: SparkSession, end: Node, request: Mapping | Request, name: str | None = None, n: int = 20) -> dict:
+def probe(spark: SparkSession, end: Node, request: Mapping | Request, name: str | None = None, n: int | None = None) -> dict:
     """For a look at a step: the first ``n`` rows of the node ``name`` (default ``end``) under ``request``, its columns
     and its plan."""
     found = compute(spark, end, request, only=[name or end.name])
     (df,) = found.values()
-    return {"columns": df.columns, "rows": df.limit(n).collect(), "plan": df._jdf.queryExecution().toString()}
+    return {"columns": df.columns, "rows": df.limit(n or current().probe_rows).collect(), "plan": df._jdf.queryExecution().toString()}
 
 
 def span(start: datetime | str, stop: datetime | str) -> dict:

@@ -231,10 +231,11 @@ class Persister:
         return select.select(part, rest)
 
     def region(self, request: Mapping | Request, value: str = "value") -> DataFrame:
-        """Every group at every step of a request's span, with ``value`` or null (failed chunks, missing samples)."""
+        """Every group at every step of a request's span within the cube's scope, with ``value`` or null (failed chunks,
+        missing samples)."""
         request = Request.of(request)
         start, stop = self.span(request)
-        step = self.step()
+        start, stop, step = max(start, self.start), min(stop, self.stop or stop), self.step()
         first = -((self.start - start) // step)
         n = max(0, (stop - self.start + step - timedelta(microseconds=1)) // step - first)
         times = self.spark.range(n).select(at_offset((F.col("id") + first) * micros(step), self.start).alias(self.time))
@@ -369,7 +370,7 @@ class SegmentCache:
         first, end = window_starts(start, stop, self.size, self.stride, self.mode)
         spans = ({"start": first + i * self.stride, "stop": first + i * self.stride + self.size} for i in range(max(0, (end - self.size - first) // self.stride + 1)))
         spans = [s for s in spans if s["start"] < stop and s["stop"] > start]
-        return [("k" + request.with_indexers(**{self.time: s}).digest(), s) for s in spans]
+        return [(self._key(request.with_indexers(**{self.time: s})), s) for s in spans]
 
     def states(self, keys: Sequence[str]) -> dict[str, tuple[int, str, str]]:
         wanted = self.spark.createDataFrame([(k,) for k in keys], "key string")
@@ -379,7 +380,20 @@ class SegmentCache:
 
     def get(self, request: Mapping | Request) -> DataFrame:
         request = Request.of(request)
-        asked = self.segments(request)
+        rows = self._kept(request, self.segments(request)).drop("key")
+        return (rows.distinct() if self.stride < self.size else rows).filter(select.within(self.time, request.indexers[self.time]))
+
+    def items(self, requests: Sequence[Request]) -> DataFrame:
+        """The results of ``requests`` (equal but for their spans) as they are, each with its number in ``segment``."""
+        asked = [(self._key(r), dict(r.indexers[self.time])) for r in requests]
+        numbers = self.spark.createDataFrame([(k, i) for i, (k, _) in enumerate(asked)], "key string, segment long")
+        return self._kept(requests[0], list(dict(asked).items())).join(numbers, "key").drop("key")
+
+    def _key(self, request: Request) -> str:
+        return "k" + request.digest()
+
+    def _kept(self, request: Request, asked: list[tuple[str, dict]]) -> DataFrame:
+        """Rows of the sound ones of ``asked``, with their key; what is missing is computed first."""
         known = self.states([k for k, _ in asked])
         left = [x for x in asked if x[0] not in known]
         if left:
@@ -390,8 +404,7 @@ class SegmentCache:
             raise CachedFailure("all segments failed: " + "; ".join(sorted({str(x[2]) for x in known.values()})))
         rows = _parts(self.spark, f"{self.path}/data", ("key", "version"))
         marks = self.spark.createDataFrame(sound, "key string, version string")
-        rows = rows.filter(F.col("key").isin([k for k, _ in sound])).join(marks, ["key", "version"], "left_semi").drop("key", "version")
-        return (rows.distinct() if self.stride < self.size else rows).filter(select.within(self.time, request.indexers[self.time]))
+        return rows.filter(F.col("key").isin([k for k, _ in sound])).join(marks, ["key", "version"], "left_semi").drop("version")
 
     def _fill(self, request: Request, segments: list[tuple[str, dict]]) -> None:
         from .graph import Segments

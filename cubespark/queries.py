@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 from datetime import datetime, timedelta
 
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .functions import decibel, nan_to_null
 from .operators import downsample, joins, labels, segments, select, spectral
 from .plans import dataset, failsafe, graph, materialize
+from .plans.scratch import folder
 from .request import Request
 from .sources import files
 
@@ -64,7 +65,7 @@ def slice_label_list(spark, sf):
 @query("""select event_type, event_id, position from (select event_type, event_id, row_number() over (partition by event_type order by ts, event_id) - 1 as position from events)
     where position >= 10 and position < 30""")
 def slice_positions(spark, sf):
-    return select.positions(table(spark, sf, "events"), ["event_type"], ["ts", "event_id"], 10, 30).select("event_type", "event_id", "position")
+    return select.positions(table(spark, sf, "events"), ["event_type"], ["ts", "event_id"], 10, 30, cell=timedelta(days=1)).select("event_type", "event_id", "position")
 
 
 @query(f"""select event_type as channel, {AT_CELL} as ts, max(value) as value, count(*)::bigint as n from events
@@ -225,25 +226,24 @@ def annotations_per_request(spark, sf):
     return joins.per_request(r.select("req_id"), pairs, "req_id", "ann_id").withColumn("annotations", F.array_join("annotations", ","))
 
 
-HOURLY = "(select event_type as channel, date_trunc('hour', ts) as ts, avg(value) as value from events where ts >= timestamp '2024-01-05' and ts < timestamp '2024-01-07' group by all)"
+MONTH = graph.span("2024-01-01", "2024-02-01")  # all events
+HOURLY = "(select event_type as channel, date_trunc('hour', ts) as ts, avg(value) as value from events group by all)"
 
 
 def _hourly(spark, sf):
-    rows = select.select(table(spark, sf, "events"), {"ts": {"start": START, "stop": START + timedelta(days=2)}})
-    return rows.groupBy(F.col("event_type").alias("channel"), F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("ts")).agg(F.avg("value").alias("value"))
+    return table(spark, sf, "events").groupBy(F.col("event_type").alias("channel"), F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("ts")).agg(F.avg("value").alias("value"))
 
 
-@query(f"""select g.channel, g.ts, round(h.value, 9) as value from (select channel, unnest(generate_series(timestamp '2024-01-05', timestamp '2024-01-06 23:00:00', interval '1 hour')) as ts from (select distinct channel from {HOURLY})) g
+@query(f"""select g.channel, g.ts, round(h.value, 9) as value from (select channel, unnest(generate_series(timestamp '2024-01-01', timestamp '2024-01-31 23:00:00', interval '1 hour')) as ts from (select distinct channel from {HOURLY})) g
     left join {HOURLY} h on g.channel = h.channel and g.ts = h.ts""")
 def regular_grid_left(spark, sf):
-    out = joins.regular_grid(_hourly(spark, sf), ["channel"], START, START + timedelta(days=2), timedelta(hours=1))
+    out = joins.regular_grid(_hourly(spark, sf), ["channel"], MONTH["start"], MONTH["stop"], timedelta(hours=1))
     return out.select("channel", "ts", F.round("value", 9).alias("value"))
 
 
-@query("select ts, " + ", ".join(f"round(max(value) filter (where channel = '{c}'), 9) as {c}" for c in ("click", "view")) + f" from {HOURLY} where channel in ('click', 'view') group by ts")
+@query("select ts, " + ", ".join(f"round(max(value) filter (where channel = '{c}'), 9) as {c}" for c in KINDS) + f" from {HOURLY} group by ts")
 def series_outer_merge(spark, sf):
-    two = _hourly(spark, sf).filter(F.col("channel").isin("click", "view"))
-    return joins.outer_merge(two, ["ts"], "channel", "value", ["click", "view"]).select("ts", *(F.round(c, 9).alias(c) for c in ("click", "view")))
+    return joins.outer_merge(_hourly(spark, sf), ["ts"], "channel", "value", KINDS).select("ts", *(F.round(c, 9).alias(c) for c in KINDS))
 
 
 def _nearest(method, where, order):
@@ -268,14 +268,15 @@ def asof_backward(spark, sf):
     return joins.asof_backward(left, right.withColumnRenamed("event_id", "login_id"), ["user_id"], "ts", ["login_id"]).select("event_id", "user_id", "ts", "login_id")
 
 
+def _own(spark: SparkSession, name: str) -> str:
+    return f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def _cube(spark, sf):
     """A cube of daily chunks of which three are there and one has failed, in a folder of the run's own."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cubespark-")
-    import uuid
-
     rows = table(spark, sf, "events").select("event_id", "ts", "value")
     made = lambda a, b: rows.filter(select.within("ts", {"start": a, "stop": b}))
-    cube = materialize.MaterializedCube(spark, f"{top.rstrip('/')}/cube-{uuid.uuid4().hex}", datetime(2024, 1, 1), timedelta(days=1), made)
+    cube = materialize.MaterializedCube(spark, _own(spark, "cube"), datetime(2024, 1, 1), timedelta(days=1), made)
     cube.fill(datetime(2024, 1, 6), datetime(2024, 1, 9))
 
     def fails(a, b):
@@ -299,11 +300,8 @@ def materialized_read(spark, sf):
 
 @query("select event_id, ts, value from events where ts >= timestamp '2024-01-08' and ts < timestamp '2024-01-10'")
 def request_cache(spark, sf):
-    import uuid
-
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cubespark-")
     make = lambda r: select.select(table(spark, sf, "events"), r.indexers).select("event_id", "ts", "value")
-    cache = materialize.RequestCache(spark, f"{top.rstrip('/')}/cache-{uuid.uuid4().hex}", make)
+    cache = materialize.RequestCache(spark, _own(spark, "cache"), make)
     return cache.get_all([Request({"ts": graph.span(f"2024-01-0{d}", f"2024-01-{d + 1:02d}")}) for d in (8, 9)])
 
 
@@ -387,10 +385,9 @@ def confusion_counts(spark, sf):
     return labels.confusion(_predicted(spark, sf).withColumn("p", (F.col("score") >= 0).cast("int")), "label", "p", [0, 1])
 
 
-@query(f"select round(avg((label >= 5) = (score >= 0)), 9) as accuracy from (select label, score from {SCORE})".replace("avg((label >= 5) = (score >= 0))", "avg(case when (label >= 5) = (score >= 0) then 1.0 else 0.0 end)"))
+@query(f"select round(avg(case when (label >= 5) = (score >= 0) then 1.0 else 0.0 end), 9) as accuracy from (select label, score from {SCORE})")
 def accuracy(spark, sf):
-    right = (F.col("label") >= 5) == (F.col("score") >= 0)
-    return _predicted(spark, sf).agg(F.round(F.avg(right.cast("double")), 9).alias("accuracy"))
+    return labels.accuracy(_predicted(spark, sf), F.col("label") >= 5, F.col("score") >= 0).select(F.round("accuracy", 9).alias("accuracy"))
 
 
 @query("""select p_partkey, 'size' as name, 'mm' as unit, p_size::double as value from part union all select p_partkey, 'price', 'CHF', p_retailprice::double from part""")
@@ -413,16 +410,16 @@ def valid_tensors(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", failsafe.sound_arrays("embedding", 64).alias("sound"))
 
 
-@query("select event_type as channel, ts, value from events where ts >= timestamp '2024-01-05' and ts < timestamp '2024-01-20'")
+@query("select event_type as channel, ts, value from events")
 def chunk_round_trip(spark, sf):
-    rows = select.select(table(spark, sf, "events").select(F.col("event_type").alias("channel"), "ts", "value"), {"ts": {"start": START, "stop": STOP}})
+    rows = table(spark, sf, "events").select(F.col("event_type").alias("channel"), "ts", "value")
     return downsample.unchunked(downsample.chunked(rows, ["channel"], timedelta(days=1)), ["channel"])
 
 
 @query("select user_id, min(ts) as ts, min(event_id) as event_id from (select user_id, date_trunc('day', ts) as ts, event_id from events) group by user_id, ts")
 def dedupe_on_start(spark, sf):
     day = F.date_trunc("day", "ts").cast("timestamp_ntz")
-    return table(spark, sf, "events").groupBy("user_id", day.alias("ts")).agg(F.min("event_id").alias("event_id"))
+    return select.first_of(table(spark, sf, "events").select("user_id", day.alias("ts"), "event_id"), ["user_id", "ts"], ["event_id"])
 
 
 @query("select event_id, date_trunc('second', ts) as ts from events")
@@ -430,15 +427,144 @@ def floor_to_sample(spark, sf):
     return files.floor_to_sample(table(spark, sf, "events").select("event_id", "ts"), 1.0)
 
 
-@query("select event_type, 100.0::double as sampling_rate from events group by 1")
+@query("select user_id, 50.0::double * (1 + user_id % 3) as sampling_rate from events group by 1")
 def one_sampling_rate(spark, sf):
-    return files.one_rate(table(spark, sf, "events").withColumn("sampling_rate", F.lit(100.0)), ["event_type"])
+    """Three kinds of stations, each with a rate of its own."""
+    return files.one_rate(table(spark, sf, "events").withColumn("sampling_rate", 50.0 * (1 + F.col("user_id") % 3)), ["user_id"])
 
 
 @query("select event_type, count(value)::bigint as n, bool_and(value >= 0) as all_sound, bool_or(value > 400) as any_large from events group by event_type")
 def availability_flags(spark, sf):
     v = nan_to_null(F.col("value"))
-    return table(spark, sf, "events").groupBy("event_type").agg(F.count(v).alias("n"), F.bool_and(v >= 0).alias("all_sound"), F.bool_or(v > 400).alias("any_large"))
+    return failsafe.flags(table(spark, sf, "events"), ["event_type"], v, all_sound=("all", v >= 0), any_large=("any", v > 400))
+
+
+DAYS = "(select row_number() over (order by s) - 1 as segment, s as start, s + interval '3 days' as stop from (select unnest(generate_series(timestamp '2024-01-01', timestamp '2024-01-29', interval '1 day')) as s))"
+
+
+def _days(spark):
+    """Windows of three days, every day of the month."""
+    table = segments.time_segments(spark, MONTH["start"], MONTH["stop"], timedelta(days=3), timedelta(days=1))
+    return graph.Segments(table.withColumn("segment", F.date_diff("start", F.lit(MONTH["start"].date())).cast("long")))
+
+
+@query(f"""select segment, event_type as channel, {AT_CELL} as ts, max(value) as value, count(*)::bigint as n from events join {DAYS} on ts >= start and ts < stop group by all""")
+def fan_out_segments(spark, sf):
+    """One plan for all segments: they are rows."""
+    end = graph.MaxDownsample(waves(sf), keys=["channel"], width=HOURS6)
+    return graph.compute(spark, end, {"indexers": {"ts": _days(spark)}}).select("segment", "channel", "ts", "value", "n")
+
+
+MAXIMA = f"select event_type as channel, {AT_CELL} as ts, max(value) as value, count(*)::bigint as n from events where ts >= timestamp '{{}}' and ts < timestamp '{{}}' group by all"
+
+
+@query(MAXIMA.format("2024-01-05", "2024-01-20"))
+def pruned_cached_read(spark, sf):
+    """What the first request keeps prunes the graph above it for the second: its source isn't there any more."""
+    cache = materialize.RequestCache(spark, _own(spark, "kept"))
+    source = waves(sf)
+    end = graph.Cached(graph.MaxDownsample(source, keys=["channel"], width=HOURS6), cache)
+    asked = {"indexers": {"ts": graph.span(START, STOP)}}
+    graph.compute(spark, end, asked)
+    source.config = {**source.config, "path": f"{sf}/nothing.parquet"}
+    return graph.compute(spark, end, asked)
+
+
+@query(f"select 'max' as output, * from ({MAXIMA.format('2024-01-05', '2024-01-12')}) union all select 'later', * from ({MAXIMA.format('2024-01-10', '2024-01-20')})")
+def multi_output(spark, sf):
+    """Two ends, a request each, over one scan of a range that covers both."""
+    source = waves(sf)
+    ends = [graph.MaxDownsample(source, keys=["channel"], width=HOURS6, name=n) for n in ("max", "later")]
+    asked = [{"indexers": {"ts": graph.span(a, b)}} for a, b in (("2024-01-05", "2024-01-12"), ("2024-01-10", "2024-01-20"))]
+    one, two = graph.compute(spark, ends, asked, merge=True)
+    return one.select(F.lit("max").alias("output"), "*").unionByName(two.select(F.lit("later").alias("output"), "*"))
+
+
+@query("""select c::bigint as chunk_id, (case when c = 2 then -1 else 1 end)::tinyint as status, (case when c = 2 then 0 else (select count(*) from events where ts >= timestamp '2024-01-05' + to_days(c::int) and ts < timestamp '2024-01-06' + to_days(c::int)) end)::bigint as n from (select unnest(range(4)) as c)""")
+def cube_partial_failure(spark, sf):
+    """Four missing chunks, one with a bad row: only that one is marked as failed."""
+    bad = (F.col("ts") >= F.lit(datetime(2024, 1, 7))) & (F.col("ts") < F.lit(datetime(2024, 1, 8)))
+    rows = table(spark, sf, "events").select("event_id", "ts", F.when(bad, F.raise_error(F.lit("bad sample")).cast("double")).otherwise(F.col("value")).alias("value"))
+    cube = materialize.MaterializedCube(spark, _own(spark, "cube"), START, timedelta(days=1), lambda a, b: rows.filter(select.within("ts", {"start": a, "stop": b})))
+    stop = START + timedelta(days=4)
+    held = cube.read(START, stop).groupBy(F.date_diff("ts", F.lit(START.date())).cast("long").alias("chunk_id")).agg(F.count(F.lit(1)).alias("n"))
+    return cube.available(START, stop).join(held, "chunk_id", "left").select("chunk_id", "status", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+
+def _groups(spark, sf, **how):
+    """Hourly means by channel, daily chunks."""
+    hourly = _hourly(spark, sf)
+    made = lambda r: select.select(hourly, r.indexers)
+    return materialize.Persister(spark, _own(spark, "groups"), (MONTH["start"], MONTH["stop"]), timedelta(days=1), made, group_keys=["channel"], **how)
+
+
+@query(f"""select c as channel, t as ts, round(h.value, 9) as value from (select unnest(['click', 'view']) as c)
+    cross join (select unnest(generate_series(timestamp '2024-01-05 08:00:00', timestamp '2024-01-09 06:00:00', interval '1 hour')) as t) left join {HOURLY} h on c = h.channel and t = h.ts""")
+def persister_region(spark, sf):
+    """A region that overlaps what is there and what isn't, on the grid of the inferred step."""
+    cube = _groups(spark, sf)
+    cube.fill({"indexers": {"channel": ["click", "login"], "ts": graph.span("2024-01-06", "2024-01-08")}})
+    asked = {"indexers": {"channel": ["click", "view"], "ts": graph.span("2024-01-05 07:10:00", "2024-01-09 06:30:00")}}
+    return cube.region(asked).select("channel", "ts", F.round("value", 9).alias("value"))
+
+
+@query("""select 'g' || c as grp, d::bigint as chunk_id, (case when c = 'click' and d in (5, 6) or c = 'login' and d in (5, 6) or c = 'view' and d = 8 then 1 else 0 end)::tinyint as status
+    from (select unnest(['click', 'login', 'view']) as c), (select unnest(range(4, 10)) as d)""")
+def persister_groups(spark, sf):
+    cube = _groups(spark, sf)
+    cube.fill({"indexers": {"channel": ["click", "login"], "ts": graph.span("2024-01-06", "2024-01-08")}})
+    cube.fill({"indexers": {"channel": "view", "ts": graph.span("2024-01-09 05:00:00", "2024-01-09 07:00:00")}})
+    return cube.available({"indexers": {"channel": ["click", "login", "view"], "ts": graph.span("2024-01-05", "2024-01-11")}}).select("grp", "chunk_id", "status")
+
+
+@query(f"select channel, ts, round(value, 9) as value from {HOURLY} where channel in ('click', 'view') and ts >= timestamp '2024-01-05 07:00:00' and ts < timestamp '2024-01-09 06:00:00'")
+def persister_bypass_storage(spark, sf):
+    asked = {"indexers": {"channel": ["click", "view"], "ts": graph.span("2024-01-05 07:00:00", "2024-01-09 06:00:00")}}
+    return _groups(spark, sf, bypass_storage=True).read(asked).select("channel", "ts", F.round("value", 9).alias("value"))
+
+
+@query(MAXIMA.format("2024-01-05 06:00:00", "2024-01-13 12:00:00"))
+def segment_cache(spark, sf):
+    """Segments of two days, some kept by an earlier request; results are cut to the request."""
+    end = graph.MaxDownsample(waves(sf), keys=["channel"], width=HOURS6)
+    cache = materialize.SegmentCache(spark, _own(spark, "segments"), lambda r: graph.compute(spark, end, r), timedelta(days=2))
+    cache.get({"indexers": {"ts": graph.span("2024-01-06", "2024-01-09")}})
+    return cache.get({"indexers": {"ts": graph.span("2024-01-05 06:00:00", "2024-01-13 12:00:00")}})
+
+
+@query("""with n as (select event_type as channel, ts, value, row_number() over (partition by event_type order by ts, value) - 1 as i from events)
+    select a.channel, a.ts, round(sum(b.value), 6) as total from n a join n b on a.channel = b.channel and b.i between a.i - 7 and a.i where a.i % 4 = 0 group by all having count(*) = 8""")
+def rolling_trailing(spark, sf):
+    """Windows of 8 samples as arrays, every 4 samples, each with the time of its last one."""
+    rows = table(spark, sf, "events").select(F.col("event_type").alias("channel"), "ts", "value")
+    out = downsample.rolling(rows, ["channel"], 8, 4, "trailing")
+    return out.select("channel", "ts", F.round(F.aggregate("window", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+
+
+@query(f"select segment, event_type as channel, count(*)::bigint as n, round(max(value) - min(value), 6) as score from events join {DAYS} on ts >= start and ts < stop group by all having count(*) % 7 <> 0")
+def model_over_segments(spark, sf):
+    """A model asked for each segment of each channel; it fails on every item whose length 7 divides."""
+
+    def load():
+        def model(frame: pd.DataFrame) -> pd.DataFrame:
+            if any(len(x) % 7 == 0 for x in frame["item"]):
+                raise ValueError("no answer")
+            return pd.DataFrame({"segment": frame["segment"], "channel": frame["channel"], "n": frame["item"].map(len), "score": frame["item"].map(lambda x: max(x) - min(x))})
+
+        return model
+
+    found = dataset.infer_segments(spark, waves(sf), {}, _days(spark), load, "segment long, channel string, n long, score double", ["channel"])
+    return found.withColumn("score", F.round("score", 6))
+
+
+@query(f"select segment as index, event_type as channel, count(*)::bigint as n, round(avg(value), 6) as mean from events join {DAYS} on ts >= start and ts < stop where segment % 2 = 0 group by all")
+def dataset_from_components(spark, sf):
+    """A dataset of requests for three days each; items of odd index are invalid, a transform takes means."""
+    starts = [MONTH["start"] + timedelta(days=i) for i in range(29)]
+    asked = [Request({"ts": {"start": a, "stop": a + timedelta(days=3)}}) for a in starts]
+    mean = lambda df: df.groupBy("index", "channel").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean"))
+    data = dataset.RequestDataset.from_components(spark, asked, waves(sf)).transformed(mean)
+    return data.check_validity(F.col("index") % 2 == 0).rows()
 
 
 def queries() -> dict[str, Query]:

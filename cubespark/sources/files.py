@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import html
+import itertools
+from collections.abc import Callable
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -9,8 +12,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import offset, ts
-from ..operators.select import within
+from ..functions import align_floor, micros, offset, ts
+from ..operators.select import nearest, select, within
+from ..request import to_datetime
 
 
 def requests_from_json(spark: SparkSession, path: str) -> DataFrame:
@@ -45,21 +49,62 @@ def long_table(wide: DataFrame, keys: list[str], columns: list[str], span: dict
     return long.filter(within(keys[0], span, closed="both")) if span else long
 
 
+#: How times stand in the names of images, the usual way and an older one (fixed values of the file trees).
+IMAGE_TIMES = ((r"(\d{8}_\d{6})", "yyyyMMdd_HHmmss"), (r"(\d{4}-\d{2}-\d{2}_\d{6})", "yyyy-MM-dd_HHmmss"))
+
+
+def _image_time(path: Column) -> Column:
+    """The time in a file's name; null where it has none."""
+    found = [F.try_to_timestamp(F.nullif(F.regexp_extract(path, pattern, 1), F.lit("")), F.lit(form)).cast("timestamp_ntz") for pattern, form in IMAGE_TIMES]
+    return F.coalesce(*found)
+
+
 def image_listing(spark: SparkSession, path: str, extension: str = "JPG", around: timedelta = timedelta(0)) -> DataFrame:
-    """(filename, start_time, end_time) by the time in names like 20170105_123000.JPG, one row a start."""
+    """(filename, start_time, end_time) by the time in names like 20170105_123000.JPG, one row a start; no file is read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{extension}").load(path).select("path")
-    at = F.to_timestamp_ntz(F.regexp_extract("path", r"(\d{8}_\d{6})", 1), F.lit("yyyyMMdd_HHmmss"))
-    minute = timedelta(microseconds=1)
-    listed = files.select(F.col("path").alias("filename"), F.timestamp_add("MICROSECOND", F.lit(-(around // minute)), at).alias("start_time"), F.timestamp_add("MICROSECOND", F.lit(around // minute), at).alias("end_time"))
-    return listed.groupBy("start_time").agg(F.min("filename").alias("filename"), F.min("end_time").alias("end_time")).select("filename", "start_time", "end_time")
+    at, us = _image_time(F.col("path")), micros(around)
+    listed = files.select(F.col("path").alias("filename"), F.timestamp_add("MICROSECOND", F.lit(-us), at).alias("start_time"), F.timestamp_add("MICROSECOND", F.lit(us), at).alias("end_time"))
+    return listed.filter("start_time is not null").groupBy("start_time").agg(F.min("filename").alias("filename"), F.min("end_time").alias("end_time")).select("filename", "start_time", "end_time")
+
+
+def images_within(listing: DataFrame, span: dict | None) -> DataFrame:
+    """The images of a closed range; without a ``stop`` the one that is nearest to the ``start``."""
+    if not span:
+        return listing
+    if span.get("stop") is not None:
+        return listing.filter(within("start_time", span, closed="both"))
+    return nearest(listing, "start_time", span["start"], []).filter("filename is not null")
+
+
+def image_at(listing: DataFrame, at: datetime) -> DataFrame:
+    """The image of exactly this time, under either way of naming."""
+    return listing.filter(F.col("start_time") == ts(at))
+
 
+def images(spark: SparkSession, path: str, span: dict | None = None, extension: str = "JPG", most_files: int = 10_000, decode: Callable[[bytes], np.ndarray] | None = None) -> DataFrame:
+    """(ts, filename, base64) of the files in a range, both ends included; without a ``stop`` the nearest one.
 
-def images(spark: SparkSession, path: str, span: dict | None = None, extension: str = "JPG") -> DataFrame:
-    """(ts, filename, base64) of the files in a range, both ends included."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{extension}").load(path)
-    at = F.to_timestamp_ntz(F.regexp_extract("path", r"(\d{8}_\d{6})", 1), F.lit("yyyyMMdd_HHmmss"))
-    found = files.select(at.alias("ts"), F.col("path").alias("filename"), F.base64("content").alias("base64"))
-    return found.filter(within("ts", span, closed="both")) if span else found
+    Names are listed first and only the wanted files are read; over ``most_files`` of them the tree is read whole and
+    filtered, so that no long list of names goes through the driver. With ``decode`` (bytes to an array) the last columns
+    are (shape array<int>, pixels array<float>). A range without images gives an empty table.
+    """
+    wanted = images_within(image_listing(spark, path, extension), span).select("filename", F.col("start_time").alias("ts"))
+    names = [r[0] for r in wanted.select("filename").limit(most_files + 1).collect()] if span else [None] * (most_files + 1)
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{extension}")
+    if not names:
+        files = spark.createDataFrame([], "path string, content binary")
+    else:
+        files = (read.load(names) if len(names) <= most_files else read.load(path)).select("path", "content")
+    found = files.join(wanted, F.col("path") == F.col("filename")).select("ts", "filename", "content")
+    if decode is None:
+        return found.select("ts", "filename", F.base64("content").alias("base64"))
+
+    def pixels(blobs: pd.Series) -> pd.DataFrame:
+        each = [np.asarray(decode(b)) for b in blobs]
+        return pd.DataFrame({"shape": [list(x.shape) for x in each], "pixels": [x.astype("float32").ravel() for x in each]})
+
+    both = F.pandas_udf(pixels, "shape array<int>, pixels array<float>")("content")
+    return found.select("ts", "filename", both.alias("_x")).select("ts", "filename", "_x.*")
 
 
 def event_files(spark: SparkSession, path: str, start: datetime, stop: datetime, back: timedelta = timedelta(hours=1)) -> DataFrame:
@@ -92,17 +137,49 @@ def decode_adc(raw: Column, width: int) -> Column:
     return F.pandas_udf(decoded, "array<double>")(raw)
 
 
-def series_blocks(spark: SparkSession, path: str, indexers: dict, block: timedelta = timedelta(days=1)) -> DataFrame:
-    """Long rows of a Parquet tree partitioned by block_date: partitions that hold no part of the range are not listed."""
-    from ..operators.select import select
+def series_blocks(spark: SparkSession, path: str, indexers: dict, block: timedelta = timedelta(days=1), column: str = "block_date") -> DataFrame:
+    """Long rows of a Parquet tree partitioned by the start of each block (``column``: a date, or a time for shorter blocks).
 
+    Only blocks that hold a part of the range are read, and one before it, as samples may reach over a border. Blocks
+    that aren't there are passed over; if none is there at all that is an error.
+    """
     span = indexers.get("ts", {})
     found = spark.read.option("ignoreMissingFiles", True).parquet(path)
+    at = F.col(column).cast("timestamp_ntz")
     if span.get("start") is not None:
-        found = found.filter(F.col("block_date") >= F.lit((span["start"] - block).date()))
+        found = found.filter(at >= ts(align_floor(to_datetime(span["start"]), block) - block))
     if span.get("stop") is not None:
-        found = found.filter(F.col("block_date") <= F.lit(span["stop"].date()))
-    return select(found, indexers).drop("block_date")
+        found = found.filter(at < ts(to_datetime(span["stop"])))
+    if not found.limit(1).count():
+        raise FileNotFoundError(f"{path} has no block of {span}")
+    return select(found, indexers).drop(column)
+
+
+def block_paths(template: str, keys: dict[str, list[str]], start: datetime, stop: datetime, block: timedelta = timedelta(hours=1), lead: int = 1) -> list[str]:
+    """The paths of the blocks that cover a range, and ``lead`` blocks before it: ``template`` with each combination of
+    ``keys`` and the block's start, as {start:%Y%m%d_%H}."""
+    first = align_floor(start, block) - lead * block
+    starts = [first + i * block for i in range(max(0, -((first - stop) // block)))]
+    combined = [dict(zip(keys, x, strict=True)) for x in itertools.product(*keys.values())]
+    return [template.format(start=at, **k) for k in combined for at in starts]
+
+
+def read_blocks(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
+    """Parquet files of ``paths``, those that exist; if none does that is an error."""
+    there = [p for p in paths if _exists(spark, p)]
+    if not there:
+        raise FileNotFoundError(f"none of {len(paths)} blocks, as {paths[:1]}")
+    return spark.read.schema(schema).parquet(*there)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def unescaped(text: Column) -> Column:
+    """``text`` with its HTML entities replaced."""
+    return F.pandas_udf(lambda x: x.map(html.unescape, na_action="ignore"), "string")(text)
 
 
 def floor_to_sample(df: DataFrame, rate: float, time: str = "ts") -> DataFrame:

@@ -1,0 +1,471 @@
+"""Graphs that rewrite themselves, persisters, datasets, readers: what they plan, keep and refuse."""
+
+import itertools
+import json
+from datetime import datetime, timedelta
+
+import numpy as np
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
+from cubespark import settings
+from cubespark.functions import ts
+from cubespark.operators import downsample, labels, select, spectral
+from cubespark.plans import dataset, failsafe, graph, materialize
+from cubespark.plans.scratch import folder
+from cubespark.request import Request, controls_to_request
+from cubespark.sources import files
+
+WAVE = "station string, channel string, ts timestamp_ntz, value double"
+FIRST = datetime(2017, 6, 28)
+
+
+def span(a, b):
+    return {"start": FIRST + timedelta(hours=a), "stop": FIRST + timedelta(hours=b)}
+
+
+@pytest.fixture(scope="module")
+def waves(spark, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("waves"))
+    rows = [(s, c, FIRST + timedelta(minutes=10 * i), float((i * 7 + len(c) * k) % 101)) for k, (s, c) in enumerate(itertools.product(("ILL03", "ILL08"), ("EHE", "EHZ"))) for i in range(6 * 48)]
+    spark.createDataFrame(rows, WAVE).write.mode("overwrite").parquet(path)
+    return path
+
+
+def source(path, **how):
+    return graph.Source(path=path, name="waves", **how)
+
+
+def plain(df):
+    return sorted(map(str, df.collect()))
+
+
+def test_unknown_indexers_and_names_are_errors(spark, waves):
+    with pytest.raises(ValueError, match="colour"):
+        graph.compute(spark, source(waves), {"indexers": {"colour": "red"}})
+    assert graph.compute(spark, source(waves, ignore=["colour"]), {"indexers": {"colour": "red", "channel": "EHE"}}).count() == 2 * 288
+    with pytest.raises(ValueError, match="no \\+"):
+        graph.Node(name="a+b")
+    with pytest.raises(ValueError, match="mode"):
+        graph.Node(fail_mode="other")
+    with pytest.raises(ValueError, match="ends"):
+        graph.compute(spark, [source(waves)], [{}, {}])
+
+
+def test_controls_reach_the_scan(spark, waves):
+    end = graph.MaxDownsample(source(waves), keys=["channel"], width=timedelta(hours=1))
+    asked = controls_to_request({"start": "2017-06-28T03:00:00", "stop": "2017-06-28T05:00:00", "channel": "EHE"})
+    assert graph.compute(spark, end, asked).count() == 2
+
+
+def test_segments_fan_out_in_rows(spark, waves):
+    """One plan gives what a plan for each segment gives, with halo and slices."""
+    spans = [span(0.5, 3), span(2, 4.25), span(40, 41), span(3, 3)]
+    for end in (
+        graph.MinMaxDownsample(source(waves), keys=["station", "channel"], width=timedelta(hours=1)),
+        graph.Spectrogram(source(waves), keys=["station", "channel"], nfft=8, stride=2, rate=1 / 600),
+        graph.Lttb(source(waves), keys=["station", "channel"], factor=3),
+    ):
+        fanned = graph.compute(spark, end, {"indexers": {"ts": graph.Segments.of(spark, spans), "channel": "EHE"}})
+        assert "segment" in fanned.columns
+        for i, s in enumerate(spans):
+            alone = graph.compute(spark, end, {"indexers": {"ts": s, "channel": "EHE"}})
+            assert plain(fanned.filter(F.col("segment") == i).select(*alone.columns)) == plain(alone), (end.name, i)
+
+
+def test_plans_fan_out_prune_and_splice(spark, waves):
+    class Parts(graph.Node):
+        def plan(self, request):
+            return [[request.with_indexers(channel=c) for c in ("EHE", "EHZ")], None, graph.Splice(lambda x: graph.Apply(lambda df: df.limit(1), x, name="first"), request)]
+
+        def transform(self, spark, frames, request):
+            (e, z), none, one = frames
+            assert none is None and e.filter("channel <> 'EHE'").count() == z.filter("channel <> 'EHZ'").count() == 0
+            return e.unionByName(z).unionByName(one)
+
+    class Never(graph.Node):
+        def transform(self, spark, frames, request):
+            raise AssertionError("pruned")
+
+    assert graph.compute(spark, Parts(source(waves), Never(), source(waves)), {"indexers": {"station": "ILL03"}}).count() == 2 * 288 + 1
+
+
+def test_fail_modes_of_nodes(spark, waves):
+    def broken(df=None):
+        raise KeyError("broken")
+
+    bad = lambda mode: graph.Apply(lambda df: df.count(), graph.Apply(broken, source(waves), fail_mode=mode), name="after")
+    with pytest.raises(KeyError):
+        graph.compute(spark, bad("fail"), {})
+    with pytest.warns(UserWarning, match="broken"):
+        assert graph.compute(spark, bad("warning"), {}) is None
+    assert graph.compute(spark, bad("ignore"), {}) is None
+    both = graph.Apply(lambda a, b: (a is None, b.count()), graph.Apply(broken, source(waves), fail_mode="ignore"), source(waves), name="both")
+    assert graph.compute(spark, both, {}) == (True, 4 * 288)
+
+
+def test_several_ends_share_and_cover(spark, waves):
+    read = []
+
+    class Counting(graph.Source):
+        def transform(self, spark, frames, request):
+            read.append(request)
+            return super().transform(spark, frames, request)
+
+    src = Counting(path=waves, name="waves")
+    ends = [graph.MaxDownsample(src, keys=["channel"], width=timedelta(hours=1), name=n) for n in "ab"]
+    same = graph.compute(spark, ends, {"indexers": {"ts": span(1, 3)}})
+    assert len(read) == 1 and plain(same[0]) == plain(same[1]) != []
+    asked = [{"indexers": {"ts": span(1, 3)}}, {"indexers": {"ts": span(2, 6)}}]
+    apart, read[:] = graph.compute(spark, ends, asked), []
+    merged = graph.compute(spark, ends, asked, merge=True)
+    assert len(read) == 1 and dict(read[0].indexers["ts"]) == span(1, 6) and [plain(x) for x in merged] == [plain(x) for x in apart]
+    with pytest.raises(ValueError):
+        Request({"a": 1}).covering(Request({"a": 2}))
+    other = [{"indexers": {"ts": span(1, 3)}}, {"indexers": {"ts": span(2, 6), "channel": "EHE"}}]
+    assert [x.count() for x in graph.compute(spark, ends, other, merge=True)] == [4, 4]
+
+
+def test_eager_probe_and_functions(spark, waves):
+    def doubled(df, by):
+        return df.withColumn("value", F.col("value") * by)
+
+    end = graph.Apply(doubled, source(waves), by=2)
+    assert graph.eager(end, spark, [spark.createDataFrame([(1.5,)], "value double")], {}).first()["value"] == 3
+    seen = graph.probe(spark, end, {"indexers": {"channel": "EHE"}}, "waves", n=3)
+    assert len(seen["rows"]) == 3 and seen["columns"] == ["station", "channel", "ts", "value"] and "EqualTo(channel,EHE)" in seen["plan"] or "channel" in seen["plan"]
+    assert end.name == "doubled" and graph.edges_of(end) == [("waves", "doubled")]
+
+
+def test_cached_nodes_prune(spark, waves, tmp_path):
+    cache, calls = materialize.RequestCache(spark, str(tmp_path)), []
+    end = graph.Cached(graph.Apply(lambda df: calls.append(1) or df, source(waves), name="seen"), cache)
+    one, two = (graph.compute(spark, end, {"indexers": {"ts": span(1, 2)}}) for _ in range(2))
+    assert len(calls) == 1 and plain(one) == plain(two) != []
+
+
+# ---- persisters ----
+
+
+def persister(spark, waves, path, calls=None, **how):
+    def made(request):
+        if calls is not None:
+            calls.append(request)
+        return graph.compute(spark, source(waves, ignore=["note"]), request)
+
+    return materialize.Persister(spark, str(path), (FIRST, FIRST + timedelta(days=2)), timedelta(hours=4), made, group_keys=["station", "channel"], **how)
+
+
+def asked(a, b, **more):
+    return Request({"station": ["ILL03", "ILL08"], "channel": "EHZ", "ts": span(a, b)} | more)
+
+
+@pytest.mark.parametrize("a, b", [(6, 7), (8.07, 9.02), (5.07, 9.2), (-3, 2), (46, 60)])
+def test_materialized_is_direct(spark, waves, tmp_path, a, b):
+    cube = persister(spark, waves, tmp_path)
+    cube.fill(asked(4, 8))
+    direct = graph.compute(spark, source(waves), asked(a, b))
+    assert plain(cube.read(asked(a, b))) == plain(direct) and cube.is_available(asked(a, b)) and cube.fill(asked(a, b)) == 0
+
+
+def test_persister_asks_for_what_it_lacks(spark, waves, tmp_path):
+    calls = []
+    cube = persister(spark, waves, tmp_path, calls, prototype={"indexers": {"note": "x"}, "config": {"global": {"k": 1}}})
+    cube.fill(asked(4, 8, channel="EHE", station="ILL03"))
+    assert dict(calls[0].indexers) == {"note": "x", "station": "ILL03", "channel": "EHE", "ts": span(4, 8)} and calls[0].config == {"global": {"k": 1}}
+    calls.clear()
+    assert cube.fill(asked(0, 12, channel=["EHE", "EHZ"])) == 11
+    assert [(r.indexers["ts"], r.indexers["station"], r.indexers["channel"]) for r in calls] == [(span(0, 4), "ILL03", "EHE"), (span(0, 12), ["ILL03", "ILL08"], ["EHE", "EHZ"]), (span(8, 12), "ILL03", "EHE")]
+    assert cube.read(asked(0, 12, channel=["EHE", "EHZ"])).count() == 4 * 72
+    states = {(r["grp"], r["chunk_id"]): r["status"] for r in cube.available(asked(0, 16, channel="EHE", station="ILL03")).collect()}
+    assert states == {("gEHE/ILL03", i): int(i < 3) for i in range(4)}
+    with pytest.raises(ValueError, match="station"):
+        cube.read({"indexers": {"channel": "EHE"}})
+
+
+def test_persister_bypasses(spark, waves, tmp_path):
+    direct = plain(graph.compute(spark, source(waves), asked(5, 9)))
+    for how in ({"bypass": True}, {"bypass_storage": True}):
+        cube = persister(spark, waves, tmp_path / str(how), **how)
+        assert plain(cube.read(asked(5, 9))) == direct and cube.manifest().count() == 0
+        cube = persister(spark, waves, tmp_path / f"request {how}")
+        assert plain(cube.read(Request(asked(5, 9).indexers, how))) == direct and cube.manifest().count() == 0
+    layered = Request(asked(5, 9).indexers, {"keys": {"Stored": {"x": 1}}})
+    assert plain(graph.compute(spark, graph.Stored(source(waves), persister(spark, waves, tmp_path / "s")), layered)) == direct
+
+
+def test_persister_attributes_grid_and_arrays(spark, waves, tmp_path):
+    cube = persister(spark, waves, tmp_path, prototype={"indexers": {"channel": "EHE"}})
+    found = cube.initialize()
+    assert found["step_us"] == 600_000_000 and found["samples"] == 24 and found["columns"]["value"] == "double" and cube.initialize() == found
+    grid = cube.region(asked(47, 48.5))
+    assert grid.count() == 2 * 6 and grid.filter("value is null").count() == 0  # the scope ends at 48
+    array = cube.raw(asked(1, 2))
+    want = graph.compute(spark, source(waves), asked(1, 2)).orderBy("station", "ts").select("value").collect()
+    assert array.shape == (2, 6) and array.ravel().tolist() == [r[0] for r in want]
+    with pytest.raises(ValueError, match="more than 3"):
+        cube.raw(asked(1, 2), most=3)
+
+
+def test_persister_failures_stay_alone(spark, waves, tmp_path):
+    """A chunk of one group is bad: only that is marked, missing samples are null on the grid, sound ones are kept."""
+    rows = spark.read.parquet(waves)
+    bad = (F.col("station") == "ILL08") & (F.col("channel") == "EHZ") & (F.col("ts") == ts(FIRST + timedelta(hours=9)))
+    broken = rows.withColumn("value", F.when(bad, F.raise_error(F.lit("bad")).cast("double")).otherwise(F.col("value"))).filter("minute(ts) <> 30")
+    made = lambda r: select.select(broken, r.indexers)
+    cube = materialize.Persister(spark, str(tmp_path), (FIRST, FIRST + timedelta(days=2)), timedelta(hours=4), made, group_keys=["station", "channel"], step=timedelta(minutes=10))
+    grid = cube.region(asked(0, 16))
+    states = {(r["grp"], r["chunk_id"]): r["status"] for r in cube.available(asked(0, 16)).collect()}
+    assert states == {(g, i): -1 if (g, i) == ("gEHZ/ILL08", 2) else 1 for g in ("gEHZ/ILL03", "gEHZ/ILL08") for i in range(4)}
+    nulls = {r["station"]: r["n"] for r in grid.filter("value is null").groupBy("station").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert grid.count() == 2 * 96 and nulls == {"ILL03": 16, "ILL08": 16 + 20}
+    with pytest.raises(RuntimeError, match="bad"):
+        cube.read(asked(9, 10, station="ILL08"))
+    for _ in range(2):
+        cube.compact()
+        assert cube.read(asked(0, 16)).count() == 2 * 80 - 20
+    cube.finalize()
+    assert cube.is_finalized() and cube.fill(asked(0, 40)) == 0 and cube.read(asked(0, 40)).count() == 2 * 80 - 20
+
+
+def test_segment_cache(spark, waves, tmp_path):
+    calls = []
+
+    def made(request):
+        calls.append(request.indexers["ts"].table.count())
+        out = graph.compute(spark, source(waves), request)
+        bad = F.col("ts") == ts(FIRST + timedelta(hours=13))
+        return out.withColumn("value", F.when(bad, F.raise_error(F.lit("bad")).cast("double")).otherwise(F.col("value")))
+
+    cache = materialize.SegmentCache(spark, str(tmp_path), made, timedelta(hours=2))
+    direct = lambda a, b: plain(graph.compute(spark, source(waves), {"indexers": {"channel": "EHE", "ts": span(a, b)}}))
+    get = lambda a, b: plain(cache.get({"indexers": {"channel": "EHE", "ts": span(a, b)}}))
+    assert get(1.5, 6) == direct(1.5, 6) and calls == [3]
+    assert get(0, 8) == direct(0, 8) and calls == [3, 1]
+    calls.clear()
+    assert get(8, 16) == sorted(direct(8, 12) + direct(14, 16)) and calls[0] == 4 and get(8, 16) and len(calls) <= 5
+    with pytest.raises(materialize.CachedFailure, match="bad"):
+        cache.get({"indexers": {"channel": "EHE", "ts": span(12.5, 13.5)}})
+
+
+def test_request_cache_keeps_only_its_failures(spark, tmp_path):
+    cache = materialize.RequestCache(spark, str(tmp_path), lambda r: (_ for _ in ()).throw(ValueError("no")))
+    with pytest.raises(materialize.CachedFailure, match="no"):
+        cache.get(Request({"x": 1}))
+    assert cache.get_all([Request({"x": 1}), Request({"x": 2})]) is None
+
+    class Broken(materialize.RequestCache):
+        def state(self, request):
+            raise OSError("disk")
+
+    with pytest.raises(OSError):
+        Broken(spark, str(tmp_path)).get_all([Request({"x": 1})])
+
+
+def test_immutable_groups(spark, tmp_path):
+    held = materialize.Immutable(spark, f"{tmp_path}/i", ["station"])
+    rows = spark.createDataFrame([("01", 1), ("2", 2)], "station string, v int")
+    held.write(rows)
+    assert plain(held.read({"station": "01"}).select("station", "v")) == plain(rows.filter("v = 1"))
+    with pytest.raises(FileExistsError):
+        held.write(rows.limit(1))
+    with pytest.raises(KeyError, match="3"):
+        held.read({"station": ["01", "3"]})
+    materialize.write_once(rows, f"{tmp_path}/w", "station")
+    with pytest.raises(Exception, match="exist"):
+        materialize.write_once(rows, f"{tmp_path}/w", "station")
+
+
+# ---- datasets ----
+
+
+def test_dataset_life(spark, waves, tmp_path):
+    recorder = dataset.Recorder(source(waves))
+    for a in (0, 2, 4, 100):
+        graph.compute(spark, recorder, {"indexers": {"channel": "EHE", "ts": span(a, a + 1)}})
+    data = dataset.RequestDataset.from_components(spark, recorder.requests, source(waves), graph.Lttb(source(waves), keys=["station"], factor=2))
+    assert len(data) == 4 and data[1].select("index").distinct().collect()[0][0] == 1
+    sound = data.check_validity(F.col("index") != 2)
+    assert {r[0] for r in sound.rows().select("index").distinct().collect()} == {0, 1}
+    with pytest.raises(ValueError, match="invalid"):
+        sound[2]
+    with pytest.raises(IndexError):
+        sound[4]
+    data.save(spark, f"{tmp_path}/r")
+    again = dataset.RequestDataset.load(spark, f"{tmp_path}/r", *data.streams)
+    assert [r.canonical() for r in again.requests] == [r.canonical() for r in recorder.requests] and again.requests[0].indexers["ts"] == span(0, 1)
+    kept = sound.preload(f"{tmp_path}/p").transformed(lambda df: df.groupBy("index").count())
+    assert plain(kept.rows()) == plain(sound.rows().groupBy("index").count()) and kept[0].first()["count"] == sound[0].count()
+    calls = []
+    cached = lambda end: materialize.SegmentCache(spark, f"{tmp_path}/c", lambda r: calls.append(1) or graph.compute(spark, end, r), timedelta(hours=1))
+    for _ in range(2):
+        one = dataset.RequestDataset.from_components(spark, recorder.requests[:3], source(waves), cache=cached)
+        assert plain(one.rows().select("index", "ts", "value")) == plain(data.streams[0].filter("index < 3").select("index", "ts", "value"))
+    assert calls == [1]
+    with pytest.raises(ValueError, match="differ"):
+        dataset.RequestDataset.from_components(spark, [recorder.requests[0], Request({"ts": span(0, 1)})], source(waves))
+
+
+def test_models_over_segments(spark, waves):
+    def load():
+        def model(frame):
+            if (frame["segment"] == 1).any():
+                raise ValueError("no answer")
+            return pd.DataFrame({"segment": frame["segment"], "scores": [[float(np.mean(x)), 0.2] for x in frame["item"]]})
+
+        return model
+
+    spans = graph.Segments.of(spark, [span(0, 1), span(1, 2), span(2, 3), span(47.5, 49)])
+    one = {"indexers": {"station": "ILL03", "channel": "EHE"}}
+    got = dataset.infer_segments(spark, source(waves), one, spans, load, "segment long, scores array<double>", batch=3, length=6)
+    marks = {r["segment"]: r["targets"] for r in dataset.targets(got, "scores", ["high", "low", "none"], 10.0).collect()}
+    assert marks == {0: {"high": True, "low": False, "none": False}, 2: {"high": True, "low": False, "none": False}}
+    items = spark.createDataFrame([(1,), (2,)], "segment long")
+    with pytest.raises(Exception, match="no answer|KeyError"):
+        dataset.infer(items, load, "segment long").collect()
+
+
+def test_scores_and_flags(spark):
+    df = spark.createDataFrame([(1, 1, 5.0), (1, 0, -1.0), (0, 0, None)], "label int, p int, v double")
+    assert abs(labels.accuracy(df, "label", "p").first()[0] - 2 / 3) < 1e-9 and labels.accuracy(df.limit(0), "label", "p").first()[0] is None
+    got = {r["label"]: (r["n"], r["sound"], r["some"]) for r in failsafe.flags(df, ["label"], F.col("v"), sound=("all", F.col("v") > 0), some=("any", F.col("v") > 0)).collect()}
+    assert got == {1: (2, False, True), 0: (0, None, None)}
+    assert [tuple(r) for r in select.first_of(df, ["label"], ["p"]).orderBy("label").collect()] == [(0, 0, None), (1, 0, -1.0)]
+
+
+# ---- windows and spectra ----
+
+
+def series(spark, n=97, keys=("a", None)):
+    rng = np.random.default_rng(4)
+    rows = [(k, datetime(1999, 12, 30) + timedelta(hours=int(h)), float(v)) for k in keys for h, v in zip(rng.integers(0, 200, n), rng.integers(0, 50, n))]
+    return rows, spark.createDataFrame(rows, "k string, ts timestamp_ntz, value double")
+
+
+def test_series_are_counted_cell_by_cell(spark):
+    rows, df = series(spark)
+    got = sorted(((r["k"] or "", r["_i"]), r["ts"], r["value"], r["_n"], r["_y0"], r["_y1"]) for r in downsample.numbered(df, ["k"]).collect())
+    want = []
+    for k in ("", "a"):
+        own = sorted((t, v) for j, t, v in rows if (j or "") == k)
+        want += [((k, i), t, v, len(own), own[0][1], own[-1][1]) for i, (t, v) in enumerate(own)]
+    assert got == want
+    places = select.positions(df, ["k"], ["ts", "value"], 10, 30, cell=timedelta(hours=9))
+    assert plain(places.select("k", "ts", "value", "position")) == plain(select.positions(df, ["k"], ["ts", "value"], 10, 30).select("k", "ts", "value", "position"))
+
+
+@pytest.mark.parametrize("phase, size, stride", [("start", 5, 5), ("start", 6, 4), ("trailing", 5, 2), ("trailing", 3, 7)])
+def test_rolling_windows(spark, phase, size, stride):
+    rows, df = series(spark, keys=("a",))
+    own = sorted((t, v) for _, t, v in rows)
+    got = sorted((r["ts"], r["window"]) for r in downsample.rolling(df, ["k"], size, stride, phase).collect())
+    starts = range(0, len(own), stride) if phase == "start" else [i - size + 1 for i in range(0, len(own), stride)]
+    want = [(own[s if phase == "start" else s + size - 1][0], [v for _, v in own[s : s + size]]) for s in starts if s >= 0 and s + size <= len(own)]
+    assert got == sorted(want) != []
+    with pytest.raises(ValueError):
+        downsample.rolling(df, ["k"], 3, phase="middle")
+
+
+def test_classic_triangles_are_the_published_algorithm(spark):
+    """Buckets of equal shares between the ends; in each the point of the largest triangle with the point chosen
+    before and the mean of the next bucket."""
+    rng = np.random.default_rng(5)
+    y = np.cumsum(rng.normal(size=400)).tolist()
+    start = datetime(2020, 1, 1)
+    df = spark.createDataFrame([(k, start + timedelta(seconds=i), v) for k in "ab" for i, v in enumerate(y)], "k string, ts timestamp_ntz, value double")
+    edges = [int(x) for x in np.linspace(1, 399, 29)]
+    chosen = [0]
+    for lo, hi, after in zip(edges, edges[1:], [*edges[2:], None]):
+        nx, ny = (sum(range(hi, after)) / (after - hi), sum(y[hi:after]) / (after - hi)) if after else (399, y[399])
+        area = lambda i, p=chosen[-1], nx=nx, ny=ny: abs((p - nx) * (y[i] - y[p]) - (p - i) * (ny - y[p]))
+        chosen.append(max(range(lo, hi), key=area))
+    got = downsample.lttb(df, ["k"], 30).collect()
+    for k in "ab":
+        assert sorted((r["ts"] - start).seconds for r in got if r["k"] == k) == [*chosen, 399]
+    assert downsample.lttb(df, ["k"], 500).count() == 800
+
+
+def test_spectra_and_their_parameters(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=600) + np.arange(600) / 50
+    rows = [(k, i - 300, float(v)) for k in (1, None) for i, v in enumerate(x)] + [(1, 5, -9.0)]
+    df = spark.createDataFrame(rows, "k int, i long, value double")
+    frames = np.lib.stride_tricks.sliding_window_view(x, 32)[4::8]  # multiples of the stride: -296 and on
+    n = np.arange(32)
+    for how, window in (({}, spectral.tukey(32)), ({"window": "hann", "scaling": "spectrum"}, 0.5 - 0.5 * np.cos(2 * np.pi * n / 32)), ({"window": "boxcar", "detrend": None, "mode": "magnitude"}, np.ones(32)), ({"detrend": "linear"}, spectral.tukey(32))):
+        got = {(r["k"], r["frame"]): r["spectrum"] for r in spectral.stft(df, ["k"], 32, 8, 2.0, chunk=64, **how).collect()}
+        for k, frame in zip(range(-37, 40), frames):
+            z = frame - (0 if how.get("detrend", 1) is None else frame.mean())
+            if how.get("detrend") == "linear":
+                z = frame - np.polyval(np.polyfit(n, frame, 1), n)
+            dft = np.array([np.sum(z * window * np.exp(-2j * np.pi * b * n / 32)) for b in range(17)])
+            scale = 1 / window.sum() ** 2 if how.get("scaling") else 1 / (2.0 * (window**2).sum())
+            want = np.abs(dft) * np.sqrt(scale) if how.get("mode") else np.abs(dft) ** 2 * scale * np.where((np.arange(17) > 0) & (np.arange(17) < 16), 2, 1)
+            for key in (1, None):
+                assert np.allclose(got[key, k], want), (how, k)
+        assert len(got) == 2 * len(frames)
+    with pytest.raises(ValueError, match="window"):
+        spectral.stft(df, ["k"], 8, 4, window="other")
+
+
+# ---- readers and settings ----
+
+
+def test_blocks(spark, waves, tmp_path):
+    rows = spark.read.parquet(waves)
+    rows.withColumn("block_date", F.to_date("ts")).write.partitionBy("block_date").parquet(f"{tmp_path}/days")
+    got = files.series_blocks(spark, f"{tmp_path}/days", {"ts": span(5, 30), "channel": ["EHE"]})
+    assert plain(got) == plain(graph.compute(spark, source(waves), {"indexers": {"ts": span(5, 30), "channel": ["EHE"]}}))
+    with pytest.raises(FileNotFoundError):
+        files.series_blocks(spark, f"{tmp_path}/days", {"ts": span(1000, 1001)})
+    for h in (3, 4, 6):
+        rows.filter(select.within("ts", span(h, h + 1)) & (F.col("station") == "ILL03")).coalesce(1).write.parquet(f"{tmp_path}/ILL03/{FIRST + timedelta(hours=h):%Y%m%d_%H}")
+    paths = files.block_paths(f"{tmp_path}/{{station}}/{{start:%Y%m%d_%H}}", {"station": ["ILL03"]}, FIRST + timedelta(hours=4, minutes=30), FIRST + timedelta(hours=7))
+    assert [p[-2:] for p in paths] == ["03", "04", "05", "06"] and files.read_blocks(spark, paths, WAVE).count() == 3 * 12
+    with pytest.raises(FileNotFoundError):
+        files.read_blocks(spark, paths[2:3], WAVE)
+
+
+def test_images(spark, tmp_path):
+    for name in ("2017-01-05/20170105_123000.JPG", "2017-01-06/20170106_010000.JPG", "old/2017-01-07_020000.JPG", "x/nothing.JPG"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(bytes([1, 2, 3, 4, 5, 6]))
+    listing = files.image_listing(spark, str(tmp_path))
+    assert listing.count() == 3
+    assert files.image_at(listing, datetime(2017, 1, 7, 2)).first()["filename"].endswith("old/2017-01-07_020000.JPG") and files.image_at(listing, datetime(2017, 1, 7)).count() == 0
+    near = files.images(spark, str(tmp_path), {"start": datetime(2017, 1, 6, 3)}).collect()
+    assert [r["ts"] for r in near] == [datetime(2017, 1, 6, 1)]
+    both = {"start": datetime(2017, 1, 5, 12, 30), "stop": datetime(2017, 1, 6, 1)}
+    assert files.images(spark, str(tmp_path), both).count() == files.images(spark, str(tmp_path), both, most_files=1).count() == 2
+    made = files.images(spark, str(tmp_path), both, decode=lambda b: np.frombuffer(b, np.uint8).reshape(2, 3)).first()
+    assert made["shape"] == [2, 3] and made["pixels"] == [1, 2, 3, 4, 5, 6]
+    assert files.images(spark, str(tmp_path), {"start": datetime(2018, 1, 1), "stop": datetime(2018, 1, 2)}).count() == 0
+    assert files.images_within(listing.limit(0), {"start": datetime(2018, 1, 1)}).count() == 0
+    assert [r[0] for r in spark.createDataFrame([("a&amp;b &#233;",), (None,)], "x string").select(files.unescaped(F.col("x"))).collect()] == ["a&b é", None]
+
+
+def test_settings(tmp_path):
+    before = settings.current()
+    (tmp_path / "s.toml").write_text('fail_mode = "ignore"\nprobe_rows = 3\n')
+    with settings.override():
+        assert settings.load(tmp_path / "s.toml").probe_rows == 3 and graph.Node().fail_mode == "ignore" and graph.Node(fail_mode="fail").fail_mode == "fail"
+        (tmp_path / "s.json").write_text(json.dumps({"colour": 1}))
+        with pytest.raises(KeyError, match="colour"):
+            settings.load(tmp_path / "s.json")
+    assert settings.current() == before
+
+
+def test_scratch_folder(spark):
+    assert folder(spark) == folder(spark)
+
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda *a: None)
+
+        class sparkContext:
+            master = "spark://host:7077"
+            getCheckpointDir = staticmethod(lambda: None)
+
+    with pytest.raises(RuntimeError, match="share"):
+        folder(Cluster)
