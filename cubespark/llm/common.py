@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import re
-import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.scratch import folder
+
 #: A table of at most so many narrow rows is broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 100_000
 
@@ -24,15 +25,32 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the folder in spark.checkpoint.dir, so that lost executors cost no recomputation.
 
-    A local folder is set only where the session names none (tests, local mode).
+    Meant for narrow tables: rows are written as they are. With spark.cleaner.referenceTracking.cleanCheckpoints the
+    session deletes them once nothing refers to them any more.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cubespark-"))
+        context.setCheckpointDir(folder(df.sparkSession))
     return df.checkpoint()
 
 
+def written(df: DataFrame, path: str) -> DataFrame:
+    """``df`` written as Parquet and read again: columns that aren't asked for aren't read."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def removed(spark: SparkSession, path: str, at_exit: bool = False) -> None:
+    """Deletes a folder, now or when the session ends."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if at_exit:
+        files.mkdirs(at)
+        files.deleteOnExit(at)
+    else:
+        files.delete(at, True)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """``names`` changed so that no column of ``df`` is called so."""
     taken = {c.lower() for c in df.columns}

@@ -193,8 +193,8 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", rows_per_lang
     return WordFirstModel(tables, langs)
 
 
-def identify(docs: DataFrame, model: WordFirstModel, text: str = "text") -> DataFrame:
-    """``docs`` with lang_pred, score (0 to 1, the posterior under equal priors) and known of each whole text.
+def identify(docs: DataFrame, model: WordFirstModel, text: str = "text", names: tuple[str, str, str] = ("lang_pred", "score", "known")) -> DataFrame:
+    """``docs`` with lang_pred, score (0 to 1, the posterior under equal priors) and known (``names``) of each whole text.
 
     The score only compares the model's languages; known, the share of words that the predicted one has in the
     model, also tells texts in none of them; one known word more is supposed, as one or two words tell nothing.
@@ -211,7 +211,7 @@ def identify(docs: DataFrame, model: WordFirstModel, text: str = "text") -> Data
 
     found = F.arrow_udf(predicted, "l string, s double, k double")(F.col(text))
     (both,) = fresh(docs, "_found")
-    return docs.withColumn(both, found).withColumns({"lang_pred": F.col(both)["l"], "score": F.col(both)["s"], "known": F.col(both)["k"]}).drop(both)
+    return docs.withColumn(both, found).withColumns({name: F.col(both)[x] for name, x in zip(names, "lsk", strict=True)}).drop(both)
 
 
 def held_out(key: Column, folds: int = 5) -> Column:

@@ -35,12 +35,13 @@ def repeated_positions(docs: DataFrame, text: str = "text", key: str = "doc_id")
     return later.groupBy("doc_id", "text_hash").agg(covered.alias("gone"))
 
 
-def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``docs`` with n_lines, n_removed and kept_text: each text without the later occurrences of windows of three lines.
+def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", names: tuple[str, str, str] = ("n_lines", "n_removed", "kept_text")) -> DataFrame:
+    """``docs`` with n_lines, n_removed and kept_text (``names``): each text without the later occurrences of windows of
+    three lines.
 
     Lines end at ``\\n`` and are compared exactly. Occurrences are ordered by (doc_id, hash of the text, position),
-    null ids last; the first of each window stays, all lines that later ones cover go, and every line that goes
-    stays elsewhere at an earlier place. Windows without a word are left alone, so blank lines never count as a
+    null ids last; all lines that later ones cover go, and every line that goes has its like at an earlier place. Where
+    a later occurrence overlaps the first, the lines that they share go too: of ``a a a a b`` stay ``a b``. Windows without a word are left alone, so blank lines never count as a
     passage. Texts of fewer than three lines have no window and stay whole. Null text: n_lines 0, kept_text null;
     the empty text is one empty line. Rows equal in id and text are one document and get the same result. An empty
     table gives an empty table; columns named like the new ones are replaced.
@@ -52,10 +53,5 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
     lines = F.split(F.col(text), "\n")
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), covered)
     kept = F.when(F.col(covered).isNull(), F.col(text)).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
-    return (
-        docs.join(gone, same, "left")
-        .withColumn("kept_text", kept)
-        .withColumn("n_removed", F.coalesce(F.size(covered), F.lit(0)).cast("long"))
-        .withColumn("n_lines", F.when(F.col(text).isNull(), 0).otherwise(F.size(lines)).cast("long"))
-        .drop(of_id, of_hash, covered)
-    )
+    made = (F.when(F.col(text).isNull(), 0).otherwise(F.size(lines)).cast("long"), F.coalesce(F.size(covered), F.lit(0)).cast("long"), kept)
+    return docs.join(gone, same, "left").withColumns(dict(zip(names, made, strict=True))).drop(of_id, of_hash, covered)

@@ -13,7 +13,7 @@ import regex
 import xxhash
 from pyspark.sql import functions as F
 
-from cubespark.llm import bpe, chat, components, langid, linededup, media, mixing, quality, simhash, tokens, topk
+from cubespark.llm import bpe, chat, common, components, langid, linededup, media, mixing, quality, simhash, tokens, topk
 from cubespark.llm.queries import COUNTER, PATTERN, RANKS
 
 SF = "/root/testdata/sf0.001"
@@ -598,7 +598,7 @@ def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     kept, seen = docs, []
     for name, stage in corpus_pipeline.STAGES:
-        before, kept = kept, corpus_pipeline.cut(stage(spark, kept, SF))
+        before, kept = kept, common.cut(stage(spark, kept, SF))
         seen.append((name, kept.count()))
         if name != "byte_bpe":
             assert kept.columns == docs.columns
@@ -715,3 +715,36 @@ def test_language_id_is_the_plain_back_off(spark, docs):
     got = plain(langid.identify(asked, model), "text", "lang_pred", "score")
     for (text, lang, score), (want, p) in zip(got, languages_by_hand(known, [t for t, *_ in got]), strict=True):
         assert lang == want and abs(score - p) < 1e-3, text
+
+
+def test_stages_on_odd_tables(spark, docs, none):
+    """Empty tables, nulls in any column, no n_chars, and columns named like the operators' own."""
+    import corpus_pipeline
+
+    clash = docs.withColumns({"score": F.lit(7), "lang_pred": F.lit("x"), "known": F.lit(2.0), "kept_text": F.lit("k"), "n_removed": F.lit(9), "n_lines": F.lit("n"), "_copies": F.lit(3), "target": F.lit(1), "source_size": F.lit(1), "fp": F.lit(5), "component": F.lit(1)})
+    for name, stage in corpus_pipeline.STAGES:
+        for df in (none, none.drop("n_chars")):
+            assert stage(spark, df, SF).count() == 0, name
+        if name == "byte_bpe":
+            assert stage(spark, clash, SF).count() == docs.count()
+            continue
+        seen, alone = stage(spark, clash, SF), stage(spark, docs.drop("n_chars"), SF)
+        assert seen.columns == clash.columns and alone.columns == docs.drop("n_chars").columns and seen.count() == alone.count() > 0, name
+        assert seen.select("score", "lang_pred", "known", "kept_text", "n_removed", "n_lines", "_copies", "fp").distinct().count() == 1, name
+    nothing = spark.createDataFrame([(None,) * len(docs.columns)] * 3, DOCS)
+    assert [stage(spark, nothing, SF).count() for _, stage in corpus_pipeline.STAGES] == [0, 3, 1, 3, 3]
+
+
+def test_overlapping_repeats_of_a_line(spark):
+    df = spark.createDataFrame([(1, "a\na\na\na\nb")], "doc_id long, text string")
+    assert linededup.dedup_lines(df).first()["kept_text"] == "a\nb"
+
+
+def test_run_leaves_one_stage_behind(spark):
+    import pathlib
+
+    import corpus_pipeline
+
+    corpus_pipeline.run(spark, SF).count()
+    top = max(pathlib.Path(corpus_pipeline.folder(spark).removeprefix("file:")).glob("pipeline-*"), key=lambda p: p.stat().st_mtime)
+    assert [p.name for p in top.iterdir()] == ["source_mix"]
