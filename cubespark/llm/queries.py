@@ -45,9 +45,6 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-_digests = digests
-
-
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     rated = read(spark, sf_dir, "labels").select("doc_id", quality.label_grade(F.col("quality"), F.col("toxic")).alias("grade"))
