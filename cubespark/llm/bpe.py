@@ -13,7 +13,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, safe_pieces
+from .common import as_bytes, kept, safe_pieces, spread
 
 #: Entries in each of a worker's two generations of encoded pieces; others have less.
 MEMO = 250_000
@@ -234,10 +234,9 @@ def exact_pattern(pattern: str) -> str:
     return "(?V1)" + pattern.replace("\0", other).replace("\1", f"[^{space}]")
 
 
-@lru_cache(maxsize=4)
 def coder(path: str, pattern: str) -> BytePairs:
     """One for each Python worker."""
-    return BytePairs(read_ranks(path), pattern)
+    return kept(("bpe", path, pattern), lambda: BytePairs(read_ranks(path), pattern))
 
 
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
@@ -252,7 +251,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str
         one = coder(path, pattern)
         return pa.array((one.encode(x.decode("utf-8", "replace")) for x in as_bytes(texts)), pa.binary(), size=len(texts))
 
-    return df.withColumn(out, F.arrow_udf(encoded, "binary")(F.col(text)))
+    return spread(df).withColumn(out, F.arrow_udf(encoded, "binary")(F.col(text)))
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:

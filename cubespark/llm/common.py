@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -51,6 +52,27 @@ def removed(spark: SparkSession, path: str, at_exit: bool = False) -> None:
         files.delete(at, True)
 
 
+_kept: dict[Hashable, Any] = {}
+
+
+def kept(key: Hashable, make: Callable[[], Any]) -> Any:
+    """What ``make`` gives, kept by a Python worker for its next batches. Workers live on from stage to stage, so what another
+    operator has left there goes."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt anew over all cores if it is read in fewer parts than there are cores, as small files are; else as it
+    is, and also if a shuffle deals it out already."""
+    if "AdaptiveSparkPlan" in df._jdf.queryExecution().executedPlan().toString():
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """``names`` changed so that no column of ``df`` is called so."""
     taken = {c.lower() for c in df.columns}

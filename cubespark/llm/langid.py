@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
-from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -13,12 +13,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, fresh, safe_pieces
+from .common import as_bytes, fresh, kept, safe_pieces, spread
 
 #: Longest character n-gram, counted with a blank on either side of a word; single characters without.
 LONGEST = 5
 #: Distinct words whose vectors a worker remembers, and distinct words that it counts before it passes them on.
-MEMO, COUNTED = 150_000, 10_000
+MEMO, COUNTED = 150_000, 4_000
 _WORDS = re.compile(r"[^\W\d_]+")
 
 
@@ -95,12 +95,6 @@ class WordFirstModel:
     def vector(self, word: str) -> np.ndarray:
         return self.vectors([word])[0][0]
 
-    @cached_property
-    def scorer(self) -> Scorer:
-        """One for each Python worker that the model is sent to."""
-        return Scorer(self)
-
-
 class Scorer:
     """Predictions by a model; vectors of words are remembered up to a bound."""
 
@@ -148,7 +142,8 @@ def _counted(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds, names, langs = zip(*grams, strict=True) if grams else ((), (), ())
         return pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(names, pa.string()), pa.array(langs, pa.string()), pa.array(list(grams.values()), pa.int64())], ["kind", "gram", "lang", "n"])
 
-    seen: Counter[tuple[str, str]] = Counter()
+    seen: Counter[tuple[str, str]] = kept("langid counts", Counter)
+    seen.clear()
     for part in parts:
         for lang, text in zip(part.column(0).to_pylist(), as_bytes(part.column(1)), strict=True):
             for words in words_of(text.decode("utf-8", "replace")):
@@ -202,16 +197,16 @@ def identify(docs: DataFrame, model: WordFirstModel, text: str = "text", names:
     the first language by code point. Equal texts get equal values; an empty table gives an empty table; columns
     named like the new ones are replaced.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the parameters of train()
+    shared, mark = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex  # bounded by the parameters of train()
 
     def predicted(texts: pa.Array) -> pa.Array:
-        predict = shared.value.scorer.predict
+        predict = kept(mark, lambda: Scorer(shared.value)).predict
         found = [predict(x.decode("utf-8", "replace")) for x in as_bytes(texts)]
         return pa.StructArray.from_arrays([pa.array(x, t) for x, t in zip(zip(*found, strict=True) if found else ((), (), ()), (pa.string(), pa.float64(), pa.float64()), strict=True)], ["l", "s", "k"])
 
     found = F.arrow_udf(predicted, "l string, s double, k double")(F.col(text))
     (both,) = fresh(docs, "_found")
-    return docs.withColumn(both, found).withColumns({name: F.col(both)[x] for name, x in zip(names, "lsk", strict=True)}).drop(both)
+    return spread(docs).withColumn(both, found).withColumns({name: F.col(both)[x] for name, x in zip(names, "lsk", strict=True)}).drop(both)
 
 
 def held_out(key: Column, folds: int = 5) -> Column:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes
+from .common import as_bytes, spread
 
 #: Magic bytes, the offset at which they stand in a file, and its type (fixed values of the formats).
 MAGIC = [
@@ -382,7 +382,7 @@ def store(df: DataFrame, text: str = "text", out: str = "media", unit: int = 576
     def stored(texts: pa.Array) -> pa.Array:
         return pa.array((as_media(padded(x, unit), unit) for x in as_bytes(texts)), pa.binary(), size=len(texts))
 
-    return df.withColumn(out, F.arrow_udf(stored, "binary")(F.col(text)))
+    return spread(df).withColumn(out, F.arrow_udf(stored, "binary")(F.col(text)))
 
 
 def read_back(df: DataFrame, media: str, out: str = "payload") -> DataFrame:

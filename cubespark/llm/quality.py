@@ -6,14 +6,13 @@ import re
 import zlib
 from collections import Counter
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, cut, fresh, maybe_broadcast, safe_pieces
+from .common import as_bytes, cut, fresh, kept, maybe_broadcast, safe_pieces, spread
 
 #: Buckets of the hashed features, and distinct words whose features a worker remembers.
 BUCKETS, MEMO = 1 << 18, 300_000
@@ -60,10 +59,9 @@ class Features:
         return at, weight / max(np.sqrt((weight**2).sum()), 1e-12)
 
 
-@lru_cache(maxsize=1)
 def features() -> Features:
     """One for each Python worker."""
-    return Features()
+    return kept("quality", Features)
 
 
 @dataclass(frozen=True)
@@ -165,7 +163,7 @@ def grade(docs: DataFrame, model: OrdinalModel, text: str = "text") -> DataFrame
 
     found = F.arrow_udf(graded, "e double, t double")(F.col(text))
     (both,) = fresh(docs, "_graded")
-    return docs.withColumn(both, found).withColumns({"expected_grade": F.col(both)["e"], "tail_probability": F.col(both)["t"]}).drop(both)
+    return spread(docs).withColumn(both, found).withColumns({"expected_grade": F.col(both)["e"], "tail_probability": F.col(both)["t"]}).drop(both)
 
 
 def label_grade(quality: Column, toxic: Column) -> Column:

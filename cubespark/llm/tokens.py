@@ -3,18 +3,16 @@
 from __future__ import annotations
 
 import os
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, safe_pieces
+from .common import as_bytes, kept, safe_pieces, spread
 
 
-@lru_cache(maxsize=4)
 def _counter(path: str):
-    """A function from texts to token counts by the library that the file's name tells; one per Python worker."""
+    """A function from texts to token counts by the library that the file's name tells, and whether texts may be cut."""
     if path.endswith(".model"):
         import sentencepiece
 
@@ -31,7 +29,7 @@ def _counter(path: str):
 
 def count_column(path: str, batch_bytes: int, piece_chars: int):
     def count(texts: pa.Array) -> pa.Array:
-        encode, can_cut = _counter(path)
+        encode, can_cut = kept(("tokens", path), lambda: _counter(path))
         totals = [0] * len(texts)
         batch: list[str] = []
         owners: list[int] = []
@@ -70,4 +68,4 @@ def count_tokens(
     inside texts are handled as the library does by default. Equal rows get equal counts; an empty table gives an
     empty table; a column named ``out`` is replaced.
     """
-    return df.withColumn(out, count_column(path, batch_bytes, piece_chars)(F.col(text)))
+    return spread(df).withColumn(out, count_column(path, batch_bytes, piece_chars)(F.col(text)))
