@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, cut, fresh
+from .common import as_bytes, cut, fresh, spread
 from .components import components
 
 SEED = 42
@@ -24,21 +24,26 @@ WALK = 1 << 22
 STEP, HELD = 1 << 10, 1 << 14
 #: Ranges of the Gray order at most: as many upper nodes come to the driver. Parts of the queries of a range.
 RANGES, PARTS = 1 << 16, 4
+#: Words (fixed values: five of the extended Hamming code's) that differ in four bits or more, one for each table of keys.
+TABLES = (0x00, 0x0F, 0x33, 0x3C, 0x55)
+#: Bits of a key, items of a range, and the bits of 128 in which signatures of similar texts differ at most.
+KEY_BITS, PER_RANGE, FAR = 25, 1 << 20, 20
 
 
 # ---- fingerprints ----
 
 
-def fingerprint(text: bytes, width: int = 3, chunk: int = 1 << 18) -> int:
-    """64 bits: each is set if it is set in over half the hashes of the ``width``-word shingles of ``text``."""
+def shingles_of(text: bytes, width: int) -> Iterator[bytes]:
+    """Runs of ``width`` words in lower case, repeats included; all words if they are fewer, nothing without words."""
     words = text.lower().split()  # on bytes: A-Z and the six ASCII blanks only
-    if not words:
-        return 0
     if len(words) < width:
-        shingles: Iterator[bytes] = iter([b" ".join(words)])
-    else:
-        shingles = map(b" ".join, zip(*(islice(words, i, None) for i in range(width)), strict=False))
-    hashes = map(xxhash.xxh64_intdigest, shingles, repeat(SEED))
+        return iter([b" ".join(words)] if words else [])
+    return map(b" ".join, zip(*(islice(words, i, None) for i in range(width)), strict=False))
+
+
+def fingerprint(text: bytes, width: int = 3, chunk: int = 1 << 18) -> int:
+    """64 bits: each is set if it is set in over half the hashes of the ``width``-word shingles of ``text``."""
+    hashes = map(xxhash.xxh64_intdigest, shingles_of(text, width), repeat(SEED))
     ones, total = np.zeros(64, np.int64), 0
     while len(some := np.fromiter(islice(hashes, chunk), np.uint64)):
         ones += np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -46,6 +51,27 @@ def fingerprint(text: bytes, width: int = 3, chunk: int = 1 << 18) -> int:
     return int(np.packbits(2 * ones > total, bitorder="little").view(np.uint64)[0])
 
 
+def signature(text: bytes, width: int = 5, chunk: int = 1 << 17) -> bytes:
+    """128 bits: each is set if it is set in over half the hashes of the distinct ``width``-word shingles of ``text``; as
+    the smallest of them has it where they are split evenly. Zeros without words."""
+    hashes = {xxhash.xxh3_128_digest(x) for x in shingles_of(text, width)}
+    if not hashes:
+        return bytes(16)
+    least, total, ones, each = min(hashes), len(hashes), np.zeros(128, np.int64), iter(hashes)
+    while some := b"".join(islice(each, chunk)):
+        ones += np.unpackbits(np.frombuffer(some, np.uint8).reshape(-1, 16), axis=1).sum(axis=0, dtype=np.int64)
+    tie = np.unpackbits(np.frombuffer(least, np.uint8)).astype(bool)
+    return np.packbits(np.where(2 * ones == total, tie, 2 * ones > total)).tobytes()
+
+
+def signature_column(width: int):
+    def prints(texts: pa.Array) -> pa.Array:
+        found = np.frombuffer(b"".join([signature(x, width) for x in as_bytes(texts)]), np.int64).reshape(-1, 2)
+        return pa.StructArray.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+
+    return F.arrow_udf(prints, "a long, b long")
+
+
 def fingerprint_column(width: int):
     def prints(texts: pa.Array) -> pa.Array:
         found = np.fromiter((fingerprint(x, width) for x in as_bytes(texts)), np.uint64, len(texts))
@@ -137,48 +163,64 @@ class GrayIndex:
 
 
 class Linker:
-    """Joins queries with the codes of one range that are near them, and tells which links did it."""
+    """Joins queries with the items of one range that are near them, and tells which links did it.
 
-    def __init__(self, codes: np.ndarray, most: int):
-        self.codes = codes[np.argsort(gray_rank(codes), kind="stable")]
-        self.most, self.index = most, GrayIndex(self.codes, self.codes, most)
-        self.own = np.arange(len(codes))  # groups of the range's codes so far, by their least place
+    An item is a row whose first number is its code. Codes are near if they differ in ``most`` bits or fewer. With
+    ``far`` items are near only if, besides, all their other numbers differ in ``far`` bits or fewer together.
+    """
+
+    def __init__(self, items: np.ndarray, most: int, far: int | None = None):
+        items = items.reshape(len(items), -1)
+        self.items = items[np.argsort(gray_rank(items[:, 0]), kind="stable")]
+        self.codes = np.ascontiguousarray(self.items[:, 0])
+        self.most, self.far, self.index = most, far, GrayIndex(self.codes, self.codes, most)
+        self.own = np.arange(len(items))  # groups of the range's items so far, by their least place
+
+    def _near(self, queries: np.ndarray, places: np.ndarray) -> np.ndarray:
+        if self.far is None:
+            return np.bitwise_count(queries[:, 0] ^ self.codes[places]) <= self.most
+        return np.bitwise_count(queries[:, 1:] ^ self.items[places, 1:]).sum(axis=1) <= self.far
 
     def link(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Links (a, b) of a spanning forest: with those of earlier calls they join what is near.
+        """Links (a, b), pairs of items, of a spanning forest: with those of earlier calls they join what is near.
 
-        Nodes whose codes all belong to a query's group are passed over. One code of each group of codes is tried on
+        Nodes whose items all belong to a query's group are passed over. One item of each group of items is tried on
         the way down, so that a query of a dense group meets it soon and passes over the rest.
         """
+        queries = queries.reshape(len(queries), -1)
         n, before = len(self.codes), self.own
         groups = Groups(n + len(queries))
         groups.of[:n] = before
         step = max(1, min(STEP, WALK // n))
         for begin in range(0, len(queries), step):
-            codes = queries[begin : begin + step]
+            some = queries[begin : begin + step]
             same = self._uniform(groups.of[:n])
             at = n + begin
 
-            def skip(level, q, node, codes=codes, at=at, same=same):
+            def skip(level, q, node, some=some, at=at, same=same):
                 one = same[level][node]
                 if level == 0:
                     return groups.of[one] != groups.of[at + q]
                 whole = np.flatnonzero(one >= 0)
                 whole = whole[one[whole] != groups.of[at + q[whole]]]
                 first = node[whole] * FAN**level
-                near = np.bitwise_count(codes[q[whole]] ^ self.codes[first]) <= self.most
+                near = self._near(some[q[whole]], first)
                 groups.join(at + q[whole[near]], first[near])
                 return (one < 0) | (groups.of[np.maximum(one, 0)] != groups.of[at + q])
 
-            q, leaf = self.index.walk(codes, skip)
+            q, leaf = self.index.walk(np.ascontiguousarray(some[:, 0]), skip)
+            if self.far is not None and len(q):
+                near = self._near(some[q], leaf)
+                q, leaf = q[near], leaf[near]
             if len(q):
                 groups.join(at + q, leaf)
         self.own = groups.of[:n]
-        every = np.concatenate([self.codes, queries])
+        every = np.concatenate([self.items, queries])
         roots = np.flatnonzero((before == np.arange(n)) & (self.own != before))
         moved = np.concatenate([roots, n + np.flatnonzero(groups.of[n:] != np.arange(n, len(every)))])
         a, b = every[moved], every[groups.of[moved]]
-        return a[a != b], b[a != b]
+        apart = (a != b).any(axis=1)
+        return a[apart], b[apart]
 
     def _uniform(self, of: np.ndarray) -> list[np.ndarray]:
         """For each level the group that all below a node belong to, or -1."""
@@ -194,8 +236,8 @@ class Linker:
 
 
 def _router(nodes: list[tuple[int, int, int]], most: int):
-    """From (range, fp) rows to (cell, role, codes): role 0 are the codes of a range, role 1 the queries that the upper
-    nodes don't rule out there. ``nodes``: (range, and, or) in Gray order."""
+    """From (range, code, ..) rows to (cell, role, items): role 0 are the items of a range, role 1 the queries that the
+    upper nodes don't rule out there. ``nodes``: (range, and, or) in Gray order."""
     ands, ors = (np.array([x[i] for x in nodes], np.int64).view(np.uint64) for i in (1, 2))
     place = np.full(max(x[0] for x in nodes) + 1, -1)
     place[[x[0] for x in nodes]] = np.arange(len(nodes))
@@ -205,27 +247,30 @@ def _router(nodes: list[tuple[int, int, int]], most: int):
         for part in parts:
             if not len(part):
                 continue
-            home, codes = place[part.column(0).to_numpy()], part.column(1).to_numpy().view(np.uint64)
-            out = [(int(r) * PARTS + p, 0, codes[home == r].tobytes()) for r in np.unique(home) for p in range(PARTS)]
+            home = place[part.column(0).to_numpy()]
+            items = np.stack([x.to_numpy().view(np.uint64) for x in part.columns[1:]], axis=1)
+            codes = np.ascontiguousarray(items[:, 0])
+            out = [(int(r) * PARTS + p, 0, items[home == r].tobytes()) for r in np.unique(home) for p in range(PARTS)]
             found = [index.walk(codes[start : start + step]) for start in range(0, len(codes), step)]
             q = np.concatenate([x + i * step for i, (x, _) in enumerate(found)])
             target = np.concatenate([x for _, x in found])
             # of two ranges one sends to the other: as many to lower as to higher ones
             on = (target == home[q]) | (((home[q] + target) % 2 == 0) == (target > home[q]))
             q, target = q[on], target[on]
-            cell = target * PARTS + ((codes[q] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.int64) % PARTS
+            mixed = np.bitwise_xor.reduce(items[q], axis=1) * np.uint64(0x9E3779B97F4A7C15)
+            cell = target * PARTS + (mixed >> np.uint64(32)).astype(np.int64) % PARTS
             order = np.argsort(cell, kind="stable")
             cell, q = cell[order], q[order]
             edges = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1], True])
-            out += [(int(cell[i]), 1, codes[q[i:j]].tobytes()) for i, j in zip(edges[:-1], edges[1:], strict=True)]
+            out += [(int(cell[i]), 1, items[q[i:j]].tobytes()) for i, j in zip(edges[:-1], edges[1:], strict=True)]
             cells, roles, held = zip(*out, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(roles, pa.int32()), pa.array(held, pa.binary())], ["cell", "role", "codes"])
+            yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(roles, pa.int32()), pa.array(held, pa.binary())], ["cell", "role", "items"])
 
     return route
 
 
-def _cell_linker(most: int):
-    """Links of the cells of a task; rows come sorted by (cell, role), so the codes of a range come before its queries."""
+def _cell_linker(width: int, most: int, far: int | None):
+    """Links of the cells of a task; rows come sorted by (cell, role), so the items of a range come before its queries."""
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, waiting, size, linker = None, [], [], 0, None
@@ -234,22 +279,23 @@ def _cell_linker(most: int):
             nonlocal waiting, size, linker
             if waiting:
                 if linker is None:
-                    linker = Linker(np.concatenate(held), most)
-                a, b = linker.link(np.concatenate(waiting))
+                    linker = Linker(np.concatenate(held), most, far)
+                both = linker.link(np.concatenate(waiting))
                 waiting, size = [], 0
-                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (a, b)], ["a", "b"])
+                columns = [np.ascontiguousarray(x[:, i]).view(np.int64) for x in both for i in range(width)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], [f"{x}{i}" for x in "xy" for i in range(width)])
 
         for part in parts:
             for cell, role, raw in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
                 if cell != now:
                     yield from answer()
                     now, held, linker = cell, [], None
-                codes = np.frombuffer(raw, np.uint64)
+                items = np.frombuffer(raw, np.uint64).reshape(-1, width)
                 if role == 0:
-                    held.append(codes)
+                    held.append(items)
                     continue
-                waiting.append(codes)
-                size += len(codes)
+                waiting.append(items)
+                size += len(items)
                 if size >= HELD:
                     yield from answer()
         yield from answer()
@@ -257,28 +303,68 @@ def _cell_linker(most: int):
     return batches
 
 
-def fingerprint_links(codes: DataFrame, most: int = 3) -> DataFrame:
-    """Links (a, b) that join all of ``codes`` (fp, distinct) that hang together by ``most`` or fewer differing bits.
+def item_links(items: DataFrame, ranges: int, most: int, far: int | None = None) -> DataFrame:
+    """Links (x0, .., y0, ..) that join all of ``items`` (a code and further longs, distinct rows) that hang together.
 
-    One hierarchical index in Gray order over all codes. They are sorted by Gray rank and cut into ranges of equal
-    size; the bits that a range shares are the index's upper nodes (``RANGES`` at most, whatever the input). Each
-    code walks the upper nodes and goes, as a query, to its own range and to those of the others that accumulated
+    One hierarchical index in Gray order over all codes. They are sorted by Gray rank and cut into ``ranges`` of equal
+    size (``RANGES`` at most, whatever the input); the bits that a range shares are the index's upper nodes. Each code
+    walks the upper nodes and goes, as a query, to its own range and to those of the others that accumulated
     differences don't rule out, one way between any two ranges. There the lower nodes, built from the range's codes,
     are walked down to the codes. The queries of a range are dealt into ``PARTS`` cells; a task holds one range and
     ``HELD`` queries at a time. Only links of a spanning forest leave a cell, never all pairs. Every code takes this
     way, whatever the sizes.
     """
-    codes = cut(codes)
-    n = codes.count()
-    ranges = max(1, min(RANGES, isqrt(n) // 4))
-    ranged = cut(codes.repartitionByRange(ranges, gray_order(F.col("fp"))).select(F.spark_partition_id().alias("range"), "fp"))
-    nodes = ranged.groupBy("range").agg(F.bit_and("fp").alias("low"), F.bit_or("fp").alias("high"), F.min(gray_order(F.col("fp"))).alias("rank")).collect()
+    code, *rest = items.columns
+    order = gray_order(F.col(code))
+    ranged = cut(items.repartitionByRange(max(1, min(RANGES, ranges)), order, *rest).select(F.spark_partition_id().alias("range"), *items.columns))
+    nodes = ranged.groupBy("range").agg(F.bit_and(code).alias("low"), F.bit_or(code).alias("high"), F.min(order).alias("rank")).collect()
+    schema = ", ".join(f"{x}{i} long" for x in "xy" for i in range(len(items.columns)))
     if not nodes:
-        return codes.select(F.col("fp").alias("a"), F.col("fp").alias("b"))
-    upper = [(r["range"], r["low"], r["high"]) for r in sorted(nodes, key=lambda r: r["rank"])]
-    routed = ranged.mapInArrow(_router(upper, most), "cell long, role int, codes binary")
+        return items.sparkSession.createDataFrame([], schema)
+    upper = [(r["range"], r["low"], r["high"]) for r in sorted(nodes, key=lambda r: (r["rank"], r["range"]))]
+    routed = ranged.mapInArrow(_router(upper, most), "cell long, role int, items binary")
     rows = routed.repartition("cell").sortWithinPartitions("cell", "role")
-    return rows.mapInArrow(_cell_linker(most), "a long, b long").distinct()
+    return rows.mapInArrow(_cell_linker(len(items.columns), most, far), schema)
+
+
+def fingerprint_links(codes: DataFrame, most: int = 3) -> DataFrame:
+    """Links (a, b) that join all of ``codes`` (fp, distinct) that hang together by ``most`` or fewer differing bits."""
+    codes = cut(codes.select("fp"))
+    return item_links(codes, isqrt(codes.count()) // 4, most).select(F.col("x0").alias("a"), F.col("y0").alias("b")).distinct()
+
+
+def signature_links(signatures: DataFrame) -> DataFrame:
+    """Links (a, b), ids, that join ``signatures`` (id, a, b; distinct) that hang together by ``FAR`` or fewer of 128 bits.
+
+    Each signature has a key of ``KEY_BITS`` of its bits in each of five tables; those that agree in a key up to three
+    bits are compared whole. A table's keys carry a word that differs from the others' in four bits or more, so one
+    Gray-order index holds all tables and its upper nodes keep them apart. Two signatures that differ in 20 bits
+    share such a key with a probability of 99.7 %; no link is lost otherwise.
+    """
+    a, b, low = F.col("a"), F.col("b"), F.lit((1 << KEY_BITS) - 1)
+    part = lambda x, at: F.shiftrightunsigned(x, at).bitwiseAND(low)
+    mixed = F.shiftrightunsigned(a, 2 * KEY_BITS).bitwiseAND(F.lit((1 << 13) - 1)).bitwiseOR(F.shiftleft(F.shiftrightunsigned(b, 2 * KEY_BITS).bitwiseAND(F.lit((1 << 12) - 1)), 13))
+    keys = [part(a, 0), part(a, KEY_BITS), part(b, 0), part(b, KEY_BITS), mixed]
+    code = F.explode(F.array(*(key.bitwiseOR(F.lit(word << KEY_BITS)) for word, key in zip(TABLES, keys, strict=True))))
+    n = len(TABLES) * signatures.count()
+    found = item_links(signatures.select(code.alias("code"), "a", "b"), max(min(8 * len(TABLES), isqrt(n) // 4), n // PER_RANGE), 3, FAR)
+    return found.select(F.xxhash64("x1", "x2").alias("a"), F.xxhash64("y1", "y2").alias("b")).filter("a <> b").distinct()
+
+
+def similar_texts(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 5) -> DataFrame:
+    """(doc_id, row_hash, component) of each row of ``docs``: texts of similar ``width``-word shingles share a component.
+
+    Similarity is told by 128-bit SimHash signatures of the distinct shingles: a Jaccard similarity of 0.8 makes them
+    differ in 19 bits on average, ``FAR`` or fewer are linked, texts that share a quarter of their shingles differ in
+    some 50. A component is all that links reach. Texts without words (null, empty, blank) are one component. Equal
+    texts share a signature and enter the index once. Repeated rows are rows like others. An empty table gives an
+    empty table. Other columns of ``docs`` are not looked at.
+    """
+    made = spread(docs).select(F.col(key).alias("doc_id"), F.xxhash64(F.col(key), F.col(text)).alias("row_hash"), signature_column(width)(F.col(text)).alias("s"))
+    rows = cut(made.select("doc_id", "row_hash", "s.a", "s.b", F.xxhash64("s.a", "s.b").alias("id")))
+    found = components(signature_links(cut(rows.select("id", "a", "b").distinct())))
+    named = rows.join(found, F.col("id") == F.col("node"), "left")
+    return named.select("doc_id", "row_hash", F.coalesce(F.col("component"), F.col("id")).alias("component"))
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 3, most: int = 3) -> DataFrame:
@@ -287,11 +373,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wi
     Fingerprints that differ in ``most`` bits or fewer are linked; a component is all that links reach. ``component``
     is its smallest fingerprint as a signed number, component_id its smallest doc_id, null only where none has one.
     Copies of a text share a fingerprint and enter the index once. Near copies whose fingerprints differ in more bits
-    aren't linked: the README has the measured recall. Texts without words (null, empty, blank) have
+    aren't linked: the README has the measured recall; ``similar_texts`` links texts that share less. Texts without words (null, empty, blank) have
     fingerprint 0. Repeated rows are rows like others, of equal component. An empty table gives an empty table.
     Other columns of ``docs`` are not looked at.
     """
-    rows = cut(docs.select(F.col(key).alias("doc_id"), F.xxhash64(F.col(key), F.col(text)).alias("row_hash"), fingerprint_column(width)(F.col(text)).alias("fp")))
+    rows = cut(spread(docs).select(F.col(key).alias("doc_id"), F.xxhash64(F.col(key), F.col(text)).alias("row_hash"), fingerprint_column(width)(F.col(text)).alias("fp")))
     prints = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     found = components(fingerprint_links(prints.select("fp"), most))
     named = prints.join(found, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
@@ -300,9 +386,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wi
     return rows.join(named, F.col("fp") == F.col("f")).select("doc_id", "row_hash", "fp", "component", "component_id")
 
 
-def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", **how) -> DataFrame:
-    """``docs`` with one row of each component: of the smallest id (null last), then the smallest hash of the row."""
-    found = near_duplicates(docs, text, key, **how)
+def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 5) -> DataFrame:
+    """``docs`` with one row of each component of ``similar_texts``: of the smallest id (null last), then the smallest hash
+    of the row."""
+    found = similar_texts(docs, text, key, width)
     first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_hash")).alias("first"))
     of_id, row = fresh(docs, "_id", "_row")
     first = first.select(F.col("first.doc_id").alias(of_id), F.col("first.row_hash").alias(row))
