@@ -28,12 +28,36 @@ def requests_to_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", "true").json(path)
 
 
-def sensor_table(spark: SparkSession, path: str, time: str, names: dict[str, str] | None = None, position: int | None = None, span: dict | None = None) -> DataFrame:
-    """(ts, name, unit, value) of a wide CSV whose headers may end in ``[unit]``. Columns without any value give no rows."""
-    wide = spark.read.option("header", True).csv(path)
+def read_csv(spark: SparkSession, path: str, schema: str | None = None, **options: str) -> DataFrame:
+    """A CSV with a header; types are strings unless a ``schema`` names them."""
+    read = spark.read.options(header=True, **options)
+    return (read.schema(schema) if schema else read).csv(path)
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    """CSV with a header; times are written so that reading gives them back."""
+    df.write.mode("overwrite").options(header=True, timestampNTZFormat="yyyy-MM-dd'T'HH:mm:ss.SSSSSS").csv(path)
+
+
+def column_names(spark: SparkSession, path: str, title: str = "title", name: str = "name", unit: str = "unit", most: int = 10_000) -> dict[str, str]:
+    """Names for the columns of a sensor table from a CSV of titles, names and units, as ``name [unit]``; entities of
+    HTML are replaced. Over ``most`` titles are an error."""
+    rows = read_csv(spark, path).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"over {most} titles")
+    return {r[title]: html.unescape(f"{r[name]} [{r[unit]}]" if r[unit] else r[name]) for r in rows}
+
+
+def sensor_table(spark: SparkSession, path: str, time: str, names: dict[str, str] | None = None, position: int | None = None, span: dict | None = None, fields: list[str] | None = None) -> DataFrame:
+    """(ts, name, unit, value) of a wide CSV whose headers may end in ``[unit]``. Columns without any value give no rows.
+
+    ``names`` renames columns (see ``column_names``), ``fields`` keeps those of the given titles only, ``position`` the
+    rows of one position, ``span`` a closed range of time.
+    """
+    wide = read_csv(spark, path)
     if position is not None:
         wide = wide.filter(F.col("position").cast("int") == position)
-    rest = [c for c in wide.columns if c not in (time, "position")]
+    rest = [c for c in wide.columns if c not in (time, "position") and (fields is None or c in fields)]
     plain = wide.select(F.to_timestamp_ntz(F.col(f"`{time}`")).alias("ts"), *(F.col(f"`{c}`").cast("double").alias((names or {}).get(c, c)) for c in rest))
     return long_table(plain, ["ts"], [(names or {}).get(c, c) for c in rest], span)
 

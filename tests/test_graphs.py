@@ -445,6 +445,20 @@ def test_images(spark, tmp_path):
     assert [r[0] for r in spark.createDataFrame([("a&amp;b &#233;",), (None,)], "x string").select(files.unescaped(F.col("x"))).collect()] == ["a&b é", None]
 
 
+def test_sensor_tables_with_names(spark, tmp_path):
+    (tmp_path / "s.csv").write_text("time,position,t1,t2\n2020-01-01 00:00:00,1,3.5,7\n2020-01-02 00:00:00,2,4.5,8\n")
+    (tmp_path / "n.csv").write_text("title,name,unit\nt1,temperature,&deg;C\nt2,count,\n")
+    names = files.column_names(spark, str(tmp_path / "n.csv"))
+    got = files.sensor_table(spark, str(tmp_path / "s.csv"), "time", names, span={"start": datetime(2020, 1, 2), "stop": datetime(2020, 1, 2)}).collect()
+    assert sorted((r["name"], r["unit"], r["value"]) for r in got) == [("count", None, 8.0), ("temperature", "°C", 4.5)]
+    assert files.sensor_table(spark, str(tmp_path / "s.csv"), "time", fields=["t2"]).count() == 2
+    df = spark.createDataFrame([(1, datetime(2020, 1, 1, 5, 6, 7, 89)), (2, None)], "a int, ts timestamp_ntz")
+    files.write_csv(df, str(tmp_path / "out"))
+    assert plain(files.read_csv(spark, str(tmp_path / "out"), "a int, ts timestamp_ntz")) == plain(df)
+    with pytest.raises(ValueError, match="titles"):
+        files.column_names(spark, str(tmp_path / "n.csv"), most=1)
+
+
 def test_settings(tmp_path):
     before = settings.current()
     (tmp_path / "s.toml").write_text('fail_mode = "ignore"\nprobe_rows = 3\n')
