@@ -11,32 +11,44 @@ from .common import cut, fresh, maybe_broadcast, word_count
 LEVELS, BITS = 3, 12
 
 
+def running(df: DataFrame, order: list[Column], **sums: Column) -> DataFrame:
+    """``df`` with ``nth``, the place of each row in ``order`` from 1 on, and each of ``sums`` over the rows before it.
+
+    Rows are dealt by ranges of ``order``, which tells all rows apart; what stands before a range comes from a window
+    over one row a range. So no task holds all rows.
+    """
+    parts = cut(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    totals = parts.groupBy("_range").agg(F.count(F.lit(1)).alias("_nth"), *(F.sum(x).alias(f"_{k}") for k, x in sums.items()))
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(F.col("_range").alias("_of"), *(F.coalesce(F.sum(f"_{k}").over(earlier), F.lit(0)).alias(f"_{k}") for k in ("nth", *sums)))
+    inside = Window.partitionBy("_range").orderBy(*order)
+    rows = parts.withColumn("nth", F.row_number().over(inside).cast("long"))
+    rows = rows.withColumns({k: F.coalesce(F.sum(x).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) for k, x in sums.items()})
+    rows = rows.join(F.broadcast(totals), F.col("_range") == F.col("_of"))  # a row a range
+    return rows.withColumns({k: F.col(k) + F.col(f"_{k}") for k in ("nth", *sums)}).drop("_range", "_of", *(f"_{k}" for k in ("nth", *sums)))
+
+
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: tuple[int, int] = (3, 2), most: int = 2) -> DataFrame:
     """Targets for ``sizes`` (source, source_size): ``share`` of all sizes, dealt by the repeating ``weights``.
 
     Sources count by code point, null last. A target stops at ``most`` times its source's size and the excess is
     dealt again by weight: the sources in order of size over weight fill up first, and one water level holds for
-    the others. One row a source is all that a window sees here.
+    the others. Sources may be as many as rows.
     """
     up, down = share
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    w = F.element_at(F.array(*map(F.lit, weights)), (F.row_number().over(by_name) - 1) % len(weights) + 1)
-    fill = Window.orderBy((F.col("source_size") / F.col("weight")).asc(), F.col("source").asc_nulls_last())
-    every = Window.partitionBy()
-    left = (
-        sizes.withColumn("weight", w.cast("long"))
-        .withColumn("cap", F.col("source_size") * most)
-        .withColumn("before", F.coalesce(F.sum("cap").over(fill.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .withColumn("nth", F.row_number().over(fill))
-        .withColumn("weights_left", F.sum("weight").over(fill.rowsBetween(0, Window.unboundedFollowing)))
-        .withColumn("words_left", F.sum("source_size").over(every) * up - F.col("before") * down)
+    name = F.col("source").asc_nulls_last()
+    w = F.element_at(F.array(*map(F.lit, weights)), ((F.col("nth") - 1) % len(weights) + 1).cast("int"))
+    named = running(sizes, [name]).withColumn("weight", w.cast("long")).withColumn("cap", F.col("source_size") * most).drop("nth")
+    words, all_weights = named.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0))).first()
+    filled = running(named, [(F.col("source_size") / F.col("weight")).asc(), name], before=F.col("cap"), passed=F.col("weight"))
+    left = cut(
+        filled.withColumn("words_left", F.lit(words * up) - F.col("before") * down)
+        .withColumn("weights_left", F.lit(all_weights) - F.col("passed"))
         .withColumn("full", F.col("weight") * F.col("words_left") >= F.col("cap") * F.col("weights_left") * down)
     )
-    level = F.min(F.when(~F.col("full"), F.struct(F.col("nth"), F.col("words_left"), F.col("weights_left")))).over(every)
-    target = F.when(F.col("full"), F.col("cap").cast("double")).otherwise(
-        (F.col("weight") * level["words_left"]).cast("double") / (level["weights_left"] * down).cast("double")
-    )
-    return left.select("source", "source_size", "weight", target.alias("target"))
+    level = left.filter(~F.col("full")).agg(F.min(F.struct("nth", "words_left", "weights_left")).alias("x")).first()["x"]
+    flows = (F.col("weight") * F.lit(level["words_left"])).cast("double") / F.lit(float(level["weights_left"] * down)) if level else F.lit(None).cast("double")
+    return left.select("source", "source_size", "weight", F.when(F.col("full"), F.col("cap").cast("double")).otherwise(flows).alias("target"))
 
 
 def _uniform(*parts: Column) -> Column:

@@ -130,6 +130,18 @@ def test_mix(spark, docs, none):
     assert mixing.mix(none).count() == 0 and mixing.repeat_rows(none).columns == none.columns
 
 
+def test_targets_of_many_sources(spark):
+    """More sources than a range holds: places and sums go on from range to range."""
+    rng = random.Random(6)
+    sizes = {f"s{i:03}": rng.randrange(1, 500) for i in range(300)} | {None: 77, "": 0}
+    got = mixing.source_targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()
+    want = targets_by_rounds(sizes)
+    assert len(got) == len(sizes) and all(abs(r["target"] - want[r["source"]]) < 1e-6 for r in got)
+    rows = mixing.running(spark.createDataFrame([(i * 37 % 101, i) for i in range(101)], "k long, v long").repartition(5), [F.col("k").desc()], total=F.col("v")).collect()
+    by = sorted(rows, key=lambda r: -r["k"])
+    assert [r["nth"] for r in by] == list(range(1, 102)) and [r["total"] for r in by] == [sum(x["v"] for x in by[:i]) for i in range(101)]
+
+
 def lines_by_hand(rows):
     seen, gone = set(), defaultdict(set)
     texts = {(i, t) for i, t in rows if t is not None}
