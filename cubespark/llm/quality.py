@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .common import as_bytes, cut, fresh, kept, maybe_broadcast, safe_pieces, spread
 
 #: Buckets of the hashed features, and distinct words whose features a worker remembers.
-BUCKETS, MEMO = 1 << 18, 300_000
+BUCKETS, MEMO = 1 << 20, 300_000
 #: Letters of a word's beginnings.
 BEGINNINGS = (3, 4, 5, 6)
 _CORE = re.compile(r"^(\W*)(.*?)(\W*)$", re.DOTALL)
@@ -43,10 +43,11 @@ class Features:
         self.seen: dict[str, tuple[int, ...]] = {}
 
     def of(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Buckets and their weights, of unit length together."""
-        counts: Counter[int] = Counter()
+        """Buckets and their weights: the roots of their shares of the words."""
+        counts, words = Counter(), 0
         for part in safe_pieces(text, 1 << 20):
             for word, n in Counter(part.split()).items():
+                words += n
                 found = self.seen.get(word)
                 if found is None:
                     if len(self.seen) >= MEMO:
@@ -55,8 +56,7 @@ class Features:
                 for x in found:
                     counts[x] += n
         at = np.fromiter(counts.keys(), np.int64, len(counts))
-        weight = 1 + np.log(np.fromiter(counts.values(), np.float64, len(counts)))
-        return at, weight / max(np.sqrt((weight**2).sum()), 1e-12)
+        return at, np.sqrt(np.fromiter(counts.values(), np.float64, len(counts)) / max(words, 1))
 
 
 def features() -> Features:

@@ -389,9 +389,7 @@ def features_by_hand(text):
     buckets = Counter()
     for name, n in counts.items():
         buckets[zlib.crc32(name.encode()) % quality.BUCKETS] += n
-    weights = {b: 1 + np.log(n) for b, n in buckets.items()}
-    norm = np.sqrt(sum(x * x for x in weights.values()))
-    return {b: x / norm for b, x in weights.items()}
+    return {b: np.sqrt(n / len(text.split())) for b, n in buckets.items()}
 
 
 def test_quality_by_hand(spark, docs):
