@@ -811,3 +811,16 @@ def test_run_leaves_one_stage_behind(spark):
     corpus_pipeline.run(spark, SF).count()
     top = max(pathlib.Path(corpus_pipeline.folder(spark).removeprefix("file:")).glob("pipeline-*"), key=lambda p: p.stat().st_mtime)
     assert [p.name for p in top.iterdir()] == ["source_mix"]
+
+
+def test_small_files_are_dealt_out_and_workers_keep_one_table(spark, tmp_path):
+    spark.range(100).coalesce(1).write.parquet(f"{tmp_path}/one")
+    one = spark.read.parquet(f"{tmp_path}/one")
+    assert common.spread(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    many = spark.range(0, 100, 1, 50)
+    assert common.spread(many) is many
+    shuffled = one.groupBy("id").count()
+    assert common.spread(shuffled) is shuffled
+    made = []
+    keep = lambda k: common.kept(k, lambda: made.append(k) or k)
+    assert [keep("a"), keep("a"), keep("b"), keep("a")] == ["a", "a", "b", "a"] and made == ["a", "b", "a"] and len(common._kept) == 1
