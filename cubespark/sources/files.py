@@ -91,13 +91,13 @@ def image_listing(spark: SparkSession, path: str, extension: str = "JPG", around
     return listed.filter("start_time is not null").groupBy("start_time").agg(F.min("filename").alias("filename"), F.min("end_time").alias("end_time")).select("filename", "start_time", "end_time")
 
 
-def images_within(listing: DataFrame, span: dict | None) -> DataFrame:
-    """The images of a closed range; without a ``stop`` the one that is nearest to the ``start``."""
+def images_within(listing: DataFrame, span: dict | None, method: str | None = None) -> DataFrame:
+    """The images of a closed range, or with a ``method`` (see ``select.nearest``) the one nearest to its start."""
     if not span:
         return listing
-    if span.get("stop") is not None:
+    if method is None:
         return listing.filter(within("start_time", span, closed="both"))
-    return nearest(listing, "start_time", span["start"], []).filter("filename is not null")
+    return nearest(listing, "start_time", span["start"], [], method).filter("filename is not null")
 
 
 def image_at(listing: DataFrame, at: datetime) -> DataFrame:
@@ -105,14 +105,14 @@ def image_at(listing: DataFrame, at: datetime) -> DataFrame:
     return listing.filter(F.col("start_time") == ts(at))
 
 
-def images(spark: SparkSession, path: str, span: dict | None = None, extension: str = "JPG", most_files: int = 10_000, decode: Callable[[bytes], np.ndarray] | None = None) -> DataFrame:
-    """(ts, filename, base64) of the files in a range, both ends included; without a ``stop`` the nearest one.
+def images(spark: SparkSession, path: str, span: dict | None = None, extension: str = "JPG", most_files: int = 10_000, decode: Callable[[bytes], np.ndarray] | None = None, method: str | None = None) -> DataFrame:
+    """(ts, filename, base64) of the files in a range, both ends included, or of the one that ``method`` picks.
 
     Names are listed first and only the wanted files are read; over ``most_files`` of them the tree is read whole and
     filtered, so that no long list of names goes through the driver. With ``decode`` (bytes to an array) the last columns
     are (shape array<int>, pixels array<float>). A range without images gives an empty table.
     """
-    wanted = images_within(image_listing(spark, path, extension), span).select("filename", F.col("start_time").alias("ts"))
+    wanted = images_within(image_listing(spark, path, extension), span, method).select("filename", F.col("start_time").alias("ts"))
     names = [r[0] for r in wanted.select("filename").limit(most_files + 1).collect()] if span else [None] * (most_files + 1)
     read = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{extension}")
     if not names:

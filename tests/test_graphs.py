@@ -434,14 +434,14 @@ def test_images(spark, tmp_path):
     listing = files.image_listing(spark, str(tmp_path))
     assert listing.count() == 3
     assert files.image_at(listing, datetime(2017, 1, 7, 2)).first()["filename"].endswith("old/2017-01-07_020000.JPG") and files.image_at(listing, datetime(2017, 1, 7)).count() == 0
-    near = files.images(spark, str(tmp_path), {"start": datetime(2017, 1, 6, 3)}).collect()
+    near = files.images(spark, str(tmp_path), {"start": datetime(2017, 1, 6, 3)}, method="nearest").collect()
     assert [r["ts"] for r in near] == [datetime(2017, 1, 6, 1)]
     both = {"start": datetime(2017, 1, 5, 12, 30), "stop": datetime(2017, 1, 6, 1)}
     assert files.images(spark, str(tmp_path), both).count() == files.images(spark, str(tmp_path), both, most_files=1).count() == 2
     made = files.images(spark, str(tmp_path), both, decode=lambda b: np.frombuffer(b, np.uint8).reshape(2, 3)).first()
     assert made["shape"] == [2, 3] and made["pixels"] == [1, 2, 3, 4, 5, 6]
     assert files.images(spark, str(tmp_path), {"start": datetime(2018, 1, 1), "stop": datetime(2018, 1, 2)}).count() == 0
-    assert files.images_within(listing.limit(0), {"start": datetime(2018, 1, 1)}).count() == 0
+    assert files.images_within(listing.limit(0), {"start": datetime(2018, 1, 1)}, "nearest").count() == 0
     assert [r[0] for r in spark.createDataFrame([("a&amp;b &#233;",), (None,)], "x string").select(files.unescaped(F.col("x"))).collect()] == ["a&b é", None]
 
 
