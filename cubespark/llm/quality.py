@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,19 +21,29 @@ BEGINNINGS = (3, 4, 5, 6)
 _CORE = re.compile(r"^(\W*)(.*?)(\W*)$", re.DOTALL)
 
 
+#: Check sums of the letters in front of features' names: w, p, m, a, b for words, beginnings, marks alone, after and before.
+_W, _P, _M, _A, _B = (zlib.crc32(x) for x in (b"w", b"p", b"m", b"a", b"b"))
+_SHOUT = zlib.crc32(b"shout")
+
+
 def _word_features(word: str) -> tuple[int, ...]:
     """Buckets of a word: itself in lower case, its beginnings, marks around it, and whether it is shouted.
 
     Beginnings stand in for the word where its other forms are rare.
     """
-    before, core, after = _CORE.match(word).groups()
+    before, core, after = ("", word, "") if word.isalnum() else _CORE.match(word).groups()
     low = core.lower()
-    names = [f"w{low}"] if low else [f"m{word}"]
-    names += [f"p{low[:n]}" for n in BEGINNINGS if len(low) > n]
-    names += [f"a{after}"] if len(after) > 1 else []
-    names += [f"b{before}"] if before and low else []
-    names += ["shout"] if len(core) > 1 and core == core.upper() != low else []
-    return tuple(zlib.crc32(x.encode()) % BUCKETS for x in names)
+    raw, n = low.encode(), len(low)
+    sums = [zlib.crc32(raw, _W) if low else zlib.crc32(word.encode(), _M)]
+    whole = len(raw) == n  # a byte a letter
+    sums += [zlib.crc32(raw[:k] if whole else low[:k].encode(), _P) for k in BEGINNINGS if n > k]
+    if len(after) > 1:
+        sums.append(zlib.crc32(after.encode(), _A))
+    if before and low:
+        sums.append(zlib.crc32(before.encode(), _B))
+    if len(core) > 1 and core == core.upper() != low:
+        sums.append(_SHOUT)
+    return tuple([x % BUCKETS for x in sums])
 
 
 class Features:
@@ -44,7 +54,7 @@ class Features:
 
     def of(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Buckets and their weights: the roots of their shares of the words."""
-        counts, words = Counter(), 0
+        counts, words = defaultdict(int), 0
         for part in safe_pieces(text, 1 << 20):
             for word, n in Counter(part.split()).items():
                 words += n
