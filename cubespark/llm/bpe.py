@@ -239,6 +239,14 @@ def coder(path: str, pattern: str) -> BytePairs:
     return kept(("bpe", path, pattern), lambda: BytePairs(read_ranks(path), pattern))
 
 
+def _encoded(texts: pa.Array, one: BytePairs) -> pa.Array:
+    return pa.array((one.encode(x.decode("utf-8", "replace")) for x in as_bytes(texts)), pa.binary(), size=len(texts))
+
+
+def _decoded(codes: pa.Array, one: BytePairs) -> pa.Array:
+    return pa.array((one.decode(x) for x in as_bytes(codes)), pa.binary(), size=len(codes))
+
+
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
     """``df`` with ``out``: the ids of the whole ``text`` as little-endian unsigned 32-bit integers (binary).
 
@@ -246,19 +254,26 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str
     special tokens. Null counts as empty: no ids. Long texts are split in parts at places where no match reaches
     over. Equal texts get equal ids; an empty table gives an empty table; a column named ``out`` is replaced.
     """
-
-    def encoded(texts: pa.Array) -> pa.Array:
-        one = coder(path, pattern)
-        return pa.array((one.encode(x.decode("utf-8", "replace")) for x in as_bytes(texts)), pa.binary(), size=len(texts))
-
-    return spread(df).withColumn(out, F.arrow_udf(encoded, "binary")(F.col(text)))
+    encoded = F.arrow_udf(lambda texts: _encoded(texts, coder(path, pattern)), "binary")
+    return spread(df).withColumn(out, encoded(F.col(text)))
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """``df`` with ``out``: the bytes that ``ids`` stand for. Null ids count as none; an unknown id is an error."""
+    decoded = F.arrow_udf(lambda codes: _decoded(codes, coder(path, pattern)), "binary")
+    return df.withColumn(out, decoded(F.col(ids)))
+
+
+def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text", out: str = "coded") -> DataFrame:
+    """``df`` with ``out``: (ids, decoded), as ``encode`` and then ``decode`` give them.
+
+    Spark runs ``decode`` over ``encode`` in one Python node and computes the ids twice there, once as a column and once
+    as what is decoded; here each text is encoded once.
+    """
 
-    def decoded(codes: pa.Array) -> pa.Array:
+    def both(texts: pa.Array) -> pa.Array:
         one = coder(path, pattern)
-        return pa.array((one.decode(x) for x in as_bytes(codes)), pa.binary(), size=len(codes))
+        ids = _encoded(texts, one)
+        return pa.StructArray.from_arrays([ids, _decoded(ids, one)], ["ids", "decoded"])
 
-    return df.withColumn(out, F.arrow_udf(decoded, "binary")(F.col(ids)))
+    return spread(df).withColumn(out, F.arrow_udf(both, "ids binary, decoded binary")(F.col(text)))

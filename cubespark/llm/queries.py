@@ -37,8 +37,9 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def digests(docs: DataFrame) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each row of ``docs`` (doc_id, text)."""
-    coded = bpe.decode(bpe.encode(docs, RANKS, PATTERN), RANKS, PATTERN)
-    return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    coded = bpe.round_trip(docs, RANKS, PATTERN)
+    ids, decoded = F.col("coded.ids"), F.col("coded.decoded")
+    return coded.select("doc_id", (F.octet_length(ids) / 4).cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2(decoded, 256).alias("decoded_sha256"))
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

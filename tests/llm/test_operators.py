@@ -824,3 +824,16 @@ def test_small_files_are_dealt_out_and_workers_keep_one_table(spark, tmp_path):
     made = []
     keep = lambda k: common.kept(k, lambda: made.append(k) or k)
     assert [keep("a"), keep("a"), keep("b"), keep("a")] == ["a", "a", "b", "a"] and made == ["a", "b", "a"] and len(common._kept) == 1
+
+
+def test_digests_encode_each_text_once(spark, docs, tmp_path):
+    """The one Python node reads the text for one function only; digests are those of encode and decode one by one."""
+    from cubespark.llm.queries import digests
+
+    rows = docs.select("doc_id", "text").coalesce(1)
+    made = digests(rows)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and plan.split("ArrowEvalPython", 1)[1].split("\n", 1)[0].count("(text#") == 1
+    apart = bpe.decode(common.cut(bpe.encode(rows, RANKS, PATTERN)), RANKS, PATTERN)
+    want = [(i, len(x) // 4, hashlib.sha256(x).hexdigest(), hashlib.sha256(y).hexdigest()) for i, x, y in plain(apart, "doc_id", "ids", "decoded")]
+    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in made.collect())
