@@ -18,10 +18,12 @@ from .components import components
 SEED = 42
 #: Children of a node of the index.
 FAN = 8
-#: Pairs of queries and nodes that walk the index together at most; bounds the memory of a walk.
-WALK = 1 << 22
+#: Pairs of queries and nodes that go down a level together at most; bounds the memory of a walk.
+WALK = 1 << 15
 #: Queries that walk together at most, and that a task holds at a time.
 STEP, HELD = 1 << 10, 1 << 14
+#: Joins without a flat table of groups at most.
+LOOSE = 16
 #: Ranges of the Gray order at most: as many upper nodes come to the driver. Parts of the queries of a range.
 RANGES, PARTS = 1 << 16, 4
 #: Words (fixed values: five of the extended Hamming code's) that differ in four bits or more, one for each table of keys.
@@ -99,21 +101,40 @@ def gray_order(code: Column) -> Column:
 
 
 class Groups:
-    """Disjoint sets over 0..n-1 as flat parent pointers, joined many pairs at a time."""
+    """Disjoint sets over 0..n-1 as parent pointers, joined many pairs at a time; ``of`` is flat unless ``merge`` was used."""
 
     def __init__(self, n: int):
         self.of = np.arange(n)
+        self.merges = self.loose = 0
 
-    def join(self, a: np.ndarray, b: np.ndarray) -> None:
+    def roots(self, some: np.ndarray) -> np.ndarray:
+        some = self.of[some]
+        while self.loose and ((up := self.of[some]) != some).any():
+            some = up
+        return some
+
+    def flatten(self) -> None:
+        while self.loose and (self.of != (up := self.of[self.of])).any():
+            self.of = up
+        self.loose = 0
+
+    def merge(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Joins pairs; the cost follows their number, not that of all items, as these are made flat at times only."""
         while True:
-            x, y = self.of[a], self.of[b]
+            x, y = self.roots(a), self.roots(b)
             apart = x != y
             if not apart.any():
-                return
+                break
             a, b, x, y = a[apart], b[apart], x[apart], y[apart]
             np.minimum.at(self.of, np.maximum(x, y), np.minimum(x, y))
-            while (self.of != (up := self.of[self.of])).any():
-                self.of = up
+            self.merges += 1
+            self.loose += 1
+        if self.loose > LOOSE:
+            self.flatten()
+
+    def join(self, a: np.ndarray, b: np.ndarray) -> None:
+        self.merge(a, b)
+        self.flatten()
 
 
 class GrayIndex:
@@ -133,33 +154,52 @@ class GrayIndex:
             low.append(np.bitwise_and.reduceat(low[-1], starts))
             high.append(np.bitwise_or.reduceat(high[-1], starts))
         shared = [~(x ^ y) for x, y in zip(low, high, strict=True)]
-        self.values = low
-        self.masks = [m if k == len(shared) - 1 else m & ~np.repeat(shared[k + 1], FAN)[: len(m)] for k, m in enumerate(shared)]
+        masks = [m if k == len(shared) - 1 else m & ~np.repeat(shared[k + 1], FAN)[: len(m)] for k, m in enumerate(shared)]
+        self.sizes = [len(x) for x in low]
+        # the children of a node are a row, so that going down takes whole rows
+        rows = lambda x: np.pad(x, (0, -len(x) % FAN)).reshape(-1, FAN)
+        self.values, self.masks = [rows(x) for x in low], [rows(x) for x in masks]
         self.visits = [0] * len(low)
 
-    def walk(self, codes: np.ndarray, skip=None) -> tuple[np.ndarray, np.ndarray]:
-        """(query, leaf): the leaves that no pattern on the way rules out for each of ``codes``.
+    def walks(self, codes: np.ndarray, skip=None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(query, leaf) in parts: the leaves that no pattern on the way rules out for each of ``codes``.
 
-        ``skip(level, q, node)`` may drop more pairs of a query and a node on the way down.
+        ``skip(level, q, node)`` may drop more pairs of a query and a node on the way down. ``WALK`` pairs at most go
+        down a level together, the others wait: memory is bounded whatever is pruned, and how many queries walk
+        together doesn't depend on the size of the index.
         """
-        top = len(self.values) - 1
-        q, node = np.repeat(np.arange(len(codes)), len(self.values[top])), np.tile(np.arange(len(self.values[top])), len(codes))
-        gone = np.zeros(len(q), np.uint8)
-        for level in range(top, -1, -1):
-            self.visits[level] += len(q)
-            gone = gone + np.bitwise_count((codes[q] ^ self.values[level][node]) & self.masks[level][node])
-            on = gone <= self.most
-            q, node, gone = q[on], node[on], gone[on]
+        waiting = [(len(self.sizes), np.arange(len(codes)), np.zeros(len(codes), np.int64), np.zeros(len(codes), np.uint8))]
+        while waiting:
+            level, q, node, gone = waiting.pop()
+            if level == 0:
+                yield q, node
+                continue
+            if len(q) > WALK:
+                waiting.append((level, q[WALK:], node[WALK:], gone[WALK:]))
+                q, node, gone = q[:WALK], node[:WALK], gone[:WALK]
+            level -= 1
+            differ = self.values[level].take(node, axis=0)
+            differ ^= codes[q][:, None]
+            differ &= self.masks[level].take(node, axis=0)
+            now = (np.bitwise_count(differ) + gone[:, None]).ravel()
+            on = np.flatnonzero(now <= self.most)
+            above = on // FAN
+            q, node, gone = q[above], node[above] * FAN + on % FAN, now[on]
+            self.visits[level] += len(now)
+            if self.sizes[level] % FAN:
+                real = node < self.sizes[level]
+                q, node, gone = q[real], node[real], gone[real]
             if skip is not None and len(q):
                 on = skip(level, q, node)
                 q, node, gone = q[on], node[on], gone[on]
-            if level and len(q):
-                below = len(self.values[level - 1])
-                q, gone = np.repeat(q, FAN), np.repeat(gone, FAN)
-                node = (node[:, None] * FAN + np.arange(FAN)).ravel()
-                real = node < below
-                q, node, gone = q[real], node[real], gone[real]
-        return q, node
+            if len(q):
+                waiting.append((level, q, node, gone))
+
+    def walk(self, codes: np.ndarray, skip=None) -> tuple[np.ndarray, np.ndarray]:
+        """All parts of ``walks``."""
+        parts = list(self.walks(codes, skip))
+        q, leaf = (np.concatenate([np.empty(0, np.int64), *(x[i] for x in parts)]) for i in (0, 1))
+        return q, leaf
 
 
 class Linker:
@@ -188,32 +228,41 @@ class Linker:
         the way down, so that a query of a dense group meets it soon and passes over the rest.
         """
         queries = queries.reshape(len(queries), -1)
+        queries = queries[np.argsort(gray_rank(queries[:, 0]), kind="stable")]  # neighbours walk the same nodes
         n, before = len(self.codes), self.own
         groups = Groups(n + len(queries))
         groups.of[:n] = before
-        step = max(1, min(STEP, WALK // n))
-        for begin in range(0, len(queries), step):
-            some = queries[begin : begin + step]
-            same = self._uniform(groups.of[:n])
+        same, seen, merges = self._uniform(before), sum(self.index.visits), 0
+        for begin in range(0, len(queries), STEP):
+            some = queries[begin : begin + STEP]
             at = n + begin
 
-            def skip(level, q, node, some=some, at=at, same=same):
-                one = same[level][node]
-                if level == 0:
-                    return groups.of[one] != groups.of[at + q]
+            def skip(level, q, node, some=some, at=at):
+                one = same[level][node]  # of some time ago: what was one group then is one now
                 whole = np.flatnonzero(one >= 0)
-                whole = whole[one[whole] != groups.of[at + q[whole]]]
-                first = node[whole] * FAN**level
-                near = self._near(some[q[whole]], first)
-                groups.join(at + q[whole[near]], first[near])
-                return (one < 0) | (groups.of[np.maximum(one, 0)] != groups.of[at + q])
-
-            q, leaf = self.index.walk(np.ascontiguousarray(some[:, 0]), skip)
-            if self.far is not None and len(q):
-                near = self._near(some[q], leaf)
-                q, leaf = q[near], leaf[near]
-            if len(q):
-                groups.join(at + q, leaf)
+                if not len(whole):
+                    return slice(None)
+                apart = groups.roots(one[whole]) != groups.roots(at + q[whole])
+                if level:
+                    try_ = whole[apart]
+                    first = node[try_] * FAN**level
+                    near = self._near(some[q[try_]], first)
+                    groups.merge(at + q[try_[near]], first[near])
+                    apart = groups.roots(one[whole]) != groups.roots(at + q[whole])
+                on = np.ones(len(q), bool)
+                on[whole] = apart
+                return on
+
+            for q, leaf in self.index.walks(np.ascontiguousarray(some[:, 0]), skip):
+                if self.far is not None:
+                    near = self._near(some[q], leaf)
+                    q, leaf = q[near], leaf[near]
+                groups.merge(at + q, leaf)
+                # groups are told anew once as much work is done as that takes
+                if groups.merges != merges and sum(self.index.visits) - seen > n:
+                    groups.flatten()
+                    same, seen, merges = self._uniform(groups.of[:n]), sum(self.index.visits), groups.merges
+        groups.flatten()
         self.own = groups.of[:n]
         every = np.concatenate([self.items, queries])
         roots = np.flatnonzero((before == np.arange(n)) & (self.own != before))
@@ -225,7 +274,7 @@ class Linker:
     def _uniform(self, of: np.ndarray) -> list[np.ndarray]:
         """For each level the group that all below a node belong to, or -1."""
         levels = [of]
-        for _ in self.index.values[1:]:
+        for _ in self.index.sizes[1:]:
             starts = np.arange(0, len(levels[-1]), FAN)
             low, high = np.minimum.reduceat(levels[-1], starts), np.maximum.reduceat(levels[-1], starts)
             levels.append(np.where(low == high, low, -1))
@@ -243,7 +292,7 @@ def _router(nodes: list[tuple[int, int, int]], most: int):
     place[[x[0] for x in nodes]] = np.arange(len(nodes))
 
     def route(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, step = GrayIndex(ands, ors, most), max(1, WALK // len(nodes))
+        index = GrayIndex(ands, ors, most)
         for part in parts:
             if not len(part):
                 continue
@@ -251,9 +300,7 @@ def _router(nodes: list[tuple[int, int, int]], most: int):
             items = np.stack([x.to_numpy().view(np.uint64) for x in part.columns[1:]], axis=1)
             codes = np.ascontiguousarray(items[:, 0])
             out = [(int(r) * PARTS + p, 0, items[home == r].tobytes()) for r in np.unique(home) for p in range(PARTS)]
-            found = [index.walk(codes[start : start + step]) for start in range(0, len(codes), step)]
-            q = np.concatenate([x + i * step for i, (x, _) in enumerate(found)])
-            target = np.concatenate([x for _, x in found])
+            q, target = index.walk(codes)
             # of two ranges one sends to the other: as many to lower as to higher ones
             on = (target == home[q]) | (((home[q] + target) % 2 == 0) == (target > home[q]))
             q, target = q[on], target[on]
