@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from datetime import datetime, timedelta
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import at_offset, grid_index, micros, offset
 
+#: So many crowded keys are broadcast at most.
+BROADCAST_KEYS = 100_000
+
 #: Whether touching ends count: (annotation's end at a request's start, annotation's start at a request's end).
 TOUCH = {"neither": (True, True), "both": (False, False), "left": (True, False), "right": (False, True)}
 
@@ -32,9 +36,13 @@ def overlap_join(annotations: DataFrame, requests: DataFrame, width: timedelta,
     lives. So every candidate shares a cell with an interval about as long as the cell or longer, and candidates
     are about as many as results. A pair counts in the later of its two first cells, so none comes twice.
 
+    Requests whose values of ``on`` no more than ``most_bins`` of them have (without ``on``: if there are no more in all)
+    need no grid: they meet the annotations of these values as they are, which forms no more candidates than the
+    grid might make copies, and no copies.
+
     ``on`` are further columns (of both sides, equal names) that must be equal; of each column in ``any_of``, scalars
-    or arrays on either side, any element of one must be one of the other's. ``salts`` deals each cell's annotations
-    to as many tasks, with a copy of its requests each, for cells that hold a large part of all rows. Intervals
+    or arrays on either side, any element of one must be one of the other's. ``salts`` deals each key's or cell's annotations
+    to as many tasks, with a copy of its requests each, for those that hold a large part of all rows. Intervals
     whose start is after their stop, or null, overlap nothing and give no pair.
     """
     on, any_of = on or [], any_of or []
@@ -50,7 +58,7 @@ def overlap_join(annotations: DataFrame, requests: DataFrame, width: timedelta,
     def levelled(df: DataFrame, start: str, stop: str) -> DataFrame:
         us = F.greatest(offset(stop) - offset(start), F.lit(1)).cast("double")
         level = F.greatest(F.lit(0), F.ceil(F.log(float(most_bins), us / (cells[0] * most_bins)))).cast("int")
-        return df.filter(F.col(start) <= F.col(stop)).withColumn("_level", F.least(level, F.lit(len(cells) - 1)))
+        return df.withColumn("_level", F.least(level, F.lit(len(cells) - 1)))
 
     def dealt(df: DataFrame, start: str, stop: str, at: Column, first: str) -> DataFrame:
         df = df.withColumn("_at", at).withColumn(first, cell(start, F.col("_at")))
@@ -60,25 +68,44 @@ def overlap_join(annotations: DataFrame, requests: DataFrame, width: timedelta,
         at = F.explode(F.array(*map(F.lit, levels)).cast("array<int>"))
         return df.withColumn("_up", at).filter((F.col("_up") > F.col("_level")) if strictly else (F.col("_up") >= F.col("_level"))), F.col("_up")
 
-    a, b = levelled(annotations, "a_start", "a_stop"), levelled(requests, "r_start", "r_stop")
-    salt = F.pmod(F.xxhash64(F.to_json(F.struct(*annotations.columns))), F.lit(salts)).cast("int") if salts > 1 else F.lit(0)
-    every = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))) if salts > 1 else F.lit(0)
-    both = []
-    for home_is_a, levels in ((True, _levels(a)), (False, _levels(b))):
-        other, at = finer(b if home_is_a else a, levels, strictly=not home_is_a)
-        left = dealt(a if home_is_a else other, "a_start", "a_stop", F.col("_level") if home_is_a else at, "_a0").drop("_up").withColumn("_salt", salt)
-        right = dealt(other if home_is_a else b, "r_start", "r_stop", at if home_is_a else F.col("_level"), "_b0").drop("_up").withColumn("_salt", every)
-        both.append(_matched(left, right, on, any_of).filter(F.col("_cell") == F.greatest("_a0", "_b0")))
-    out = both[0].unionByName(both[1])
-    out = out.filter(overlaps(F.col("a_start"), F.col("a_stop"), F.col("r_start"), F.col("r_stop"), closed))
-    return out.drop("_at", "_cell", "_salt", "_a0", "_b0")
+    def salted(df: DataFrame) -> DataFrame:
+        return df.withColumn("_salt", F.pmod(F.xxhash64(F.to_json(F.struct(*annotations.columns))), F.lit(salts)).cast("int") if salts > 1 else F.lit(0))
+
+    def copied(df: DataFrame) -> DataFrame:
+        return df.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))) if salts > 1 else F.lit(0))
+
+    def by_cells(a: DataFrame, b: DataFrame) -> list[DataFrame]:
+        a, b = levelled(a, "a_start", "a_stop"), levelled(b, "r_start", "r_stop")
+        both = []
+        for home_is_a, levels in ((True, _levels(a)), (False, _levels(b))):
+            other, at = finer(b if home_is_a else a, levels, strictly=not home_is_a)
+            left = dealt(a if home_is_a else other, "a_start", "a_stop", F.col("_level") if home_is_a else at, "_a0").drop("_up")
+            right = dealt(other if home_is_a else b, "r_start", "r_stop", at if home_is_a else F.col("_level"), "_b0").drop("_up")
+            both.append(_matched(salted(left), copied(right), [*on, "_at", "_cell", "_salt"], any_of).filter(F.col("_cell") == F.greatest("_a0", "_b0")))
+        return [x.drop("_at", "_cell", "_a0", "_b0") for x in both]
+
+    a, b = annotations.filter(F.col("a_start") <= F.col("a_stop")), requests.filter(F.col("r_start") <= F.col("r_stop"))
+    if on:
+        many = b.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > most_bins).drop("_n")
+        crowded = many.count()
+        many = F.broadcast(many) if crowded <= BROADCAST_KEYS else many
+        few = [x.join(many, on, "left_anti") if crowded else x for x in (a, b)]
+        parts = [_matched(salted(few[0]), copied(few[1]), [*on, "_salt"], any_of)]
+        if crowded:
+            parts += by_cells(*(x.join(many, on, "left_semi") for x in (a, b)))
+    elif b.limit(most_bins + 1).count() <= most_bins:
+        parts = [_matched(a, F.broadcast(b), [], any_of)]
+    else:
+        parts = by_cells(a, b)
+    out = reduce(DataFrame.unionByName, parts)
+    return out.filter(overlaps(F.col("a_start"), F.col("a_stop"), F.col("r_start"), F.col("r_stop"), closed)).drop("_salt")
 
 
 def _matched(left: DataFrame, right: DataFrame, on: list[str], any_of: list[str]) -> DataFrame:
-    """Rows of one cell that agree in ``on`` and share an element in each of ``any_of``, whose columns of the right side are dropped."""
+    """Rows that agree in ``on`` and share an element in each of ``any_of``, whose columns of the right side are dropped."""
     listed = lambda df, c: F.col(c) if df.schema[c].dataType.typeName() == "array" else F.array(F.col(c))
     right = right.withColumnsRenamed({c: f"_r_{c}" for c in any_of})
-    out = left.join(right, [*on, "_at", "_cell", "_salt"])
+    out = left.join(right, on) if on else left.crossJoin(right)
     for c in any_of:
         out = out.filter(F.arrays_overlap(listed(left, c), listed(right, f"_r_{c}")))
     return out.drop(*(f"_r_{c}" for c in any_of))

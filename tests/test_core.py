@@ -336,3 +336,35 @@ def test_interval_queries_cover_whole_tables(spark, tmp_path):
     near = {(x[0], x[2]) for x in whole if tests["overlap_with_membership"](*x) and x[0] != x[2]}
     got = {r["req_id"]: r["annotations"] for r in queries()["annotations_per_request"](spark, str(tmp_path)).collect()}
     assert got == {k: ",".join(sorted({str(a) for a, r in near if r == k})) for k in of}
+
+
+KEYED = ["overlap_neither"]
+
+
+@pytest.mark.parametrize("name", KEYED)
+def test_keyed_overlap_makes_no_copies(spark, monkeypatch, name):
+    """A customer has few orders, so each line and each order goes to the join once, whatever its length."""
+    from cubespark.queries import queries
+
+    given, matched = [], joins._matched
+    monkeypatch.setattr(joins, "_matched", lambda left, right, *rest: given.append(left.count() + right.count()) or matched(left, right, *rest))
+    queries()[name](spark, SF)
+    assert sum(given) == sum(spark.read.parquet(f"{SF}/{t}.parquet").count() for t in ("lineitem", "orders"))
+
+
+@pytest.mark.parametrize("salts", [1, 3])
+def test_crowded_keys_alone_go_by_cells(spark, monkeypatch, salts):
+    """Keys of more requests than an interval may have cells are joined by cells, the others as they are; each pair comes once."""
+    rng = np.random.default_rng(8)
+    at = lambda s: datetime(2000, 1, 1) + timedelta(hours=int(s))
+    def some(n, keys):
+        return [(i, keys[i % len(keys)], at(s), at(s + rng.choice([-1, 0, 2, 30, 3000]))) for i, s in enumerate(rng.integers(0, 900, n))]
+    a, r = some(150, ["crowded", "few", "lonely", None]), some(60, ["crowded", "crowded", "crowded", "few", None, "other"])
+    ann, req = spark.createDataFrame(a, "ann long, k string, a_start timestamp_ntz, a_stop timestamp_ntz"), spark.createDataFrame(r, "req long, k string, r_start timestamp_ntz, r_stop timestamp_ntz")
+    keys, matched = [], joins._matched
+    monkeypatch.setattr(joins, "_matched", lambda left, right, on, any_of: keys.append(("_cell" in on, {x["k"] for x in right.collect()})) or matched(left, right, on, any_of))
+    out = joins.overlap_join(ann, req, timedelta(hours=4), "left", on=["k"], most_bins=16, salts=salts)
+    got = [(x["ann"], x["req"]) for x in out.collect()]
+    want = [(i, j) for i, k, s, e in a for j, m, s2, e2 in r if k == m is not None and s <= e and s2 <= e2 and e >= s2 and s < e2]
+    assert sorted(got) == sorted(want) != [] and out.columns == ["k", "ann", "a_start", "a_stop", "req", "r_start", "r_stop"]
+    assert keys[0] == (False, {"few", None, "other"}) and all(by and found <= {"crowded"} for by, found in keys[1:]) and len(keys) == 3
