@@ -107,13 +107,15 @@ class RequestDataset:
         return self._with(invalid=self.invalid.union(invalid) if self.invalid is not None else invalid)
 
     def check_validity(self, sound: Column) -> RequestDataset:
-        """Without the items that have a row which isn't ``sound``, and without requests that a stream has no row of."""
+        """Without the items that have a row which isn't ``sound``, and without requests that a stream has no row of.
+
+        Rows are first made one an item where they lie, so no task holds an item's rows.
+        """
         rows = index_join(self.streams, "index", self.invalid)
-        bad = rows.filter(~F.coalesce(sound, F.lit(False))).select("index").distinct()
+        found = rows.select("index", F.coalesce(sound, F.lit(False)).alias("_sound")).groupBy("index").agg(F.min("_sound").alias("_sound"))
         if self.requests:
-            spark = rows.sparkSession
-            bad = bad.union(spark.range(len(self)).select(F.col("id").alias("index")).join(rows.select("index"), "index", "left_anti"))
-        return self.mask_invalid(bad.distinct())
+            found = found.join(rows.sparkSession.range(len(self)).select(F.col("id").alias("index")), "index", "full")
+        return self.mask_invalid(found.filter(~F.coalesce("_sound", F.lit(False))))
 
     def preload(self, path: str) -> RequestDataset:
         """Its streams written to ``path`` once, by index, and read from there."""

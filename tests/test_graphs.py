@@ -483,3 +483,27 @@ def test_scratch_folder(spark):
 
     with pytest.raises(RuntimeError, match="share"):
         folder(Cluster)
+
+
+def test_validity_shuffles_items_not_their_rows(spark):
+    """Few items of many rows: what is shuffled and sorted to find the invalid ones is a row an item and task."""
+
+    def shuffled(node):
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            return shuffled(node.executedPlan())
+        if kind.endswith("QueryStageExec"):
+            return shuffled(node.plan())
+        own = node.metrics().apply("shuffleRecordsWritten").value() if kind == "ShuffleExchangeExec" else 0
+        return own + sum(shuffled(node.children().apply(i)) for i in range(node.children().size()))
+
+    rows = spark.range(5000).select((F.col("id") % 5).alias("index"), F.col("id").alias("value"))
+    data = dataset.RequestDataset([Request({"x": i}) for i in range(7)], rows)  # 5 and 6 have no row
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        invalid = data.check_validity(F.when(F.col("value") != 1003, F.col("index") != 0)).invalid
+        assert sorted(r["index"] for r in invalid.collect()) == [0, 3, 5, 6]
+        assert 0 < shuffled(invalid._jdf.queryExecution().executedPlan()) < 100
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
