@@ -338,7 +338,7 @@ def test_interval_queries_cover_whole_tables(spark, tmp_path):
     assert got == {k: ",".join(sorted({str(a) for a, r in near if r == k})) for k in of}
 
 
-KEYED = ["overlap_neither", "overlap_left", "overlap_right", "overlap_both", "overlap_any_of", "overlap_with_membership"]
+KEYED = ["overlap_neither", "overlap_left", "overlap_right", "overlap_both", "overlap_any_of", "overlap_with_membership", "annotations_per_request"]
 
 
 @pytest.mark.parametrize("name", KEYED)
